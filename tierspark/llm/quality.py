@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         part = part.sort_values(["_id", "_text", "_label"], kind="stable")
         return pd.DataFrame({"model": [Classifier.fit(part["_text"].tolist(), (part["_label"] == 1).to_numpy()).dump()]})
 
-    got = sample.groupBy(F.lit(0)).applyInPandas(train, "model binary").collect()
+    got = sample.groupBy().applyInPandas(train, "model binary").collect()
     return bytes(got[0][0]) if got else Classifier.fit([], np.zeros(0)).dump()
 
 
