@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tierspark.operators import access, bloom, layers, nest, runs
 from tierspark.operators.layers import Layer, chain
+from tierspark.plans import predicate
 from tierspark.plans.nested_filter import flat_filter, narrow_schema, nested_filter
 from tierspark.plans.predicate import Pred, Udf, by_layer, less_than
 from tierspark.sources import readers, writers
@@ -162,3 +163,8 @@ def test_positions(spark, tmp_path):
     assert access.file_row(spark.read.parquet(str(tmp_path / "r")), 4).first().id == 4
     assert [r.id for r in access.row_range(spark.range(10), ["id"], 3, 2).orderBy("id").collect()] == [3, 4]
     assert access.read_column(spark.range(2), 0).columns == ["id"]
+
+
+def test_predicates_travel_as_text(spark):
+    preds = predicate.loads(predicate.dumps([predicate.compare((), "name", "ne", "c"), predicate.compare(("childArr",), "v", "from_to", [5, 7])]))
+    assert [r.p for r in nested_filter(nest.nest_all(chain(*family(spark))), preds).collect()] == [1]

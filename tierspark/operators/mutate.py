@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from .layers import Layer
 
 OPS = ("insert", "upsert", "update", "delete")
+#: Changed keys that one call of the fold works on.
+BUCKET_KEYS = 20_000
 
 
 def merge_one_per_key(base: DataFrame, log: DataFrame, pk: tuple[str, ...]) -> DataFrame:
@@ -51,50 +53,59 @@ def cascade(child: DataFrame, fk: tuple[str, ...], parents: DataFrame, parent_pk
 
 
 def _fold(columns: list[str], pk: list[str], fk: list[str], rooted: bool, whole: set[str]):
-    """The state machine of one key, over its base row, its changes and its parents' lives.
+    """The state machine of a key, over its base row, its changes and its parents' lives, for many keys at once.
 
     ``whole`` are the integer columns, which come as floats next to nulls.
     """
+    parent = lambda r: tuple(r[c] for c in fk)
+    own = lambda r: tuple(r[c] for c in pk)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        for c in whole:
-            rows[c] = [None if v is None or pd.isna(v) else int(v) for v in rows[c].tolist()]
-            rows[c] = rows[c].astype(object).where(rows[c].notna(), None)
-        rows = rows.sort_values(["__seq", "__rank"], kind="stable")
+    def one(events: list[dict]) -> tuple[dict | None, list[tuple[int, bool]]]:
         row: dict | None = None
         lives: dict[tuple, bool] = {}
-        first: dict | None = None
-        out: list[dict] = []
-        parent = lambda r: tuple(None if pd.isna(r[c]) else r[c] for c in fk)
-        for r in rows.to_dict("records"):
-            kind = r["__kind"]
+        out: list[tuple[int, bool]] = []
+        for r in events:
+            kind, seq = r["__kind"], r["__seq"]
             if kind == "base":
-                row = first = {c: r[c] for c in columns}
-                continue
-            if kind == "life":
-                lives[tuple(r[c] for c in fk)] = bool(r["__alive"])
-                if row is not None and not r["__alive"] and parent(row) == tuple(r[c] for c in fk):
+                row = {c: r[c] for c in columns}
+            elif kind == "life":
+                lives[parent(r)] = bool(r["__alive"])
+                if row is not None and not r["__alive"] and parent(row) == parent(r):
                     row = None
-                    out.append({"__seq": r["__seq"], "__alive": False})
-                continue
-            new = {c: r[c] for c in columns}
-            given = {c: v for c, v in new.items() if not (v is None or (not isinstance(v, (list, dict, tuple)) and pd.isna(v)))}
-            if kind == "delete":
+                    out.append((seq, False))
+            elif kind == "delete":
                 if row is not None:
                     row = None
-                    out.append({"__seq": r["__seq"], "__alive": False})
+                    out.append((seq, False))
             elif row is None:
-                if kind in ("insert", "upsert") and (rooted or lives.get(parent(new), False)):
-                    row = new
-                    out.append({"__seq": r["__seq"], "__alive": True})
+                if kind in ("insert", "upsert") and (rooted or lives.get(parent(r), False)):
+                    row = {c: r[c] for c in columns}
+                    out.append((seq, True))
             elif kind in ("upsert", "update"):
-                patched = row | given
+                patched = row | {c: r[c] for c in columns if r[c] is not None}
                 if rooted or parent(patched) == parent(row) or lives.get(parent(patched), False):
                     row = patched
-        key = {c: rows.iloc[0][c] for c in pk}
-        final = [{**(row or dict.fromkeys(columns)), **key, "__kind": "row", "__seq": -1, "__alive": row is not None}]
-        final += [{**dict.fromkeys(columns), **key, "__kind": "life", **e} for e in out]
-        return pd.DataFrame(final, columns=[*columns, "__kind", "__seq", "__alive"], dtype=object)
+        return row, out
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        plain = {}
+        for c in rows.columns:
+            values = rows[c].tolist()
+            if c in columns:
+                values = [None if v is None or (not isinstance(v, (list, dict, tuple)) and pd.api.types.is_scalar(v) and pd.isna(v)) else v for v in values]
+            plain[c] = [None if v is None else int(v) for v in values] if c in whole else values
+        told = [dict(zip(plain, r, strict=True)) for r in zip(*plain.values(), strict=True)]
+        keys: dict[tuple, list[dict]] = {}
+        for r in told:
+            keys.setdefault(own(r), []).append(r)
+        out = []
+        for key, events in keys.items():
+            row, lives = one(sorted(events, key=lambda r: (r["__seq"], r["__rank"])))
+            if row is not None:
+                out.append([*(row[c] for c in columns), "row", -1, True])
+            named = dict(zip(pk, key, strict=True))
+            out += [[*(named.get(c) for c in columns), "life", seq, alive] for seq, alive in lives]
+        return pd.DataFrame(out, columns=[*columns, "__kind", "__seq", "__alive"], dtype=object)
 
     return run
 
@@ -103,9 +114,9 @@ def apply_changes(root: Layer, logs: dict[str, DataFrame]) -> Layer:
     """The layer tree after all changes, in the order of ``seq`` over all layers.
 
     ``logs`` has for each layer's name a table of ``op, seq`` and the
-    layer's columns. Layers are worked top-down; only keys with changes, and
-    children of parents that died, pass through the per-key fold, and all
-    other rows are carried over by anti joins.
+    layer's columns. Layers are worked top-down. Only keys with changes of
+    their own pass through the fold; of the others, those of a parent that
+    died go by an anti join, and the rest is carried over.
     """
     return _apply(root, None, None, logs)
 
@@ -121,30 +132,32 @@ def _apply(layer: Layer, parents: DataFrame | None, parent_pk: tuple[str, ...] |
         log = base.limit(0).withColumn("op", F.lit("")).withColumn("seq", F.lit(0).cast("long"))
     full = [F.col(c) if c in log.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns]
     changes = log.select(*full, F.col("op").alias("__kind"), F.col("seq").cast("long").alias("__seq"), F.lit(1).alias("__rank"), F.lit(None).cast("boolean").alias("__alive"))
-    touched = changes.select(*pk)
-    events = [changes]
+    touched = stored(changes.select(*pk).distinct())
+    quiet = base.join(touched, pk, "left_anti")
+    gone = None
     if not rooted:
-        # parents: parent's key columns, named as this layer's foreign key, with __seq and __alive; -1 is before the log
-        deaths = parents.where("__seq >= 0 and not __alive").select(*fk).distinct()
-        touched = touched.unionByName(base.join(deaths, fk, "left_semi").select(*pk))
-    touched = stored(touched.distinct())
+        # parents: the parent's key columns, named as this layer's foreign key, with __seq and __alive; -1 is before the log
+        deaths = parents.where("__seq >= 0 and not __alive").groupBy(*fk).agg(F.min("__seq").alias("__seq"))
+        gone = quiet.join(deaths, fk).select(*pk, "__seq", F.lit(False).alias("__alive"))
+        quiet = quiet.join(deaths, fk, "left_anti")
     rows = base.join(touched, pk, "left_semi").withColumn("__kind", F.lit("base")).withColumn("__seq", F.lit(-1).cast("long")).withColumn("__rank", F.lit(0)).withColumn("__alive", F.lit(True))
-    events.append(rows)
+    every = changes.unionByName(rows)
     if not rooted:
         wanted = rows.select(*_distinct(pk, fk)).unionByName(changes.select(*_distinct(pk, fk))).distinct()
         lives = wanted.join(parents, fk).select(*[F.col(c) if c in _distinct(pk, fk) else F.lit(None).cast(kinds[c]).alias(c) for c in columns], F.lit("life").alias("__kind"), "__seq", F.when(F.col("__seq") < 0, -1).otherwise(2).alias("__rank"), "__alive")
-        events.append(lives)
-    every = events[0]
-    for e in events[1:]:
-        every = every.unionByName(e)
+        every = every.unionByName(lives)
     schema = T.StructType([*[T.StructField(c, kinds[c]) for c in columns], T.StructField("__kind", T.StringType()), T.StructField("__seq", T.LongType()), T.StructField("__alive", T.BooleanType())])
     whole = {c for c, k in kinds.items() if isinstance(k, T.IntegralType)}
-    folded = stored(every.groupBy(*pk).applyInPandas(_fold(columns, pk, fk, rooted, whole), schema))
-    after = base.join(touched, pk, "left_anti").unionByName(folded.where("__kind = 'row' and __alive").select(*columns))
-    after = stored(after.select(*columns))
+    buckets = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), touched.count() // BUCKET_KEYS + 1)
+    dealt = every.withColumn("__bucket", F.pmod(F.xxhash64(*pk), F.lit(buckets)))
+    fold = _fold(columns, pk, fk, rooted, whole)
+    folded = stored(dealt.groupBy("__bucket").applyInPandas(lambda part: fold(part), schema))
+    after = stored(quiet.select(*columns).unionByName(folded.where("__kind = 'row'").select(*columns)))
     out = Layer(layer.name, after, layer.pk, layer.fk)
     # lives of this layer's keys, for its children: base rows are alive from the start
     lived = base.select(*pk).withColumn("__seq", F.lit(-1).cast("long")).withColumn("__alive", F.lit(True)).unionByName(folded.where("__kind = 'life'").select(*pk, "__seq", "__alive"))
+    if gone is not None:
+        lived = lived.unionByName(gone)
     for child in layer.children:
         named = lived.select(*[F.col(p).alias(c) for p, c in zip(pk, child.fk, strict=True)], "__seq", "__alive")
         out.children.append(_apply(child, named, layer.pk, logs))

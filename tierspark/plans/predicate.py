@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -73,3 +74,38 @@ def less_than(path: tuple[str, ...], name: str, bound: object) -> Pred:
 def half_open(path: tuple[str, ...], name: str, low: object, high: object) -> Pred:
     """``low <= field < high``."""
     return Pred(path, lambda r: (r[name] >= F.lit(low)) & (r[name] < F.lit(high)))
+
+
+#: Comparisons of a predicate that is stored as text.
+COMPARE = {
+    "lt": lambda c, v: c < v,
+    "le": lambda c, v: c <= v,
+    "gt": lambda c, v: c > v,
+    "ge": lambda c, v: c >= v,
+    "eq": lambda c, v: c == v,
+    "ne": lambda c, v: c != v,
+    "in": lambda c, v: c.isin(v),
+    "from_to": lambda c, v: (c >= F.lit(v[0])) & (c < F.lit(v[1])),
+}
+
+
+def compare(path: tuple[str, ...], name: str, op: str, value: object) -> Pred:
+    """``field op value``, which ``dumps`` can write."""
+    how = COMPARE[op]
+    return Spec(tuple(path), lambda r: how(r[name], value), (name, op, value))
+
+
+@dataclass(frozen=True)
+class Spec(Pred):
+    """A predicate that keeps what it was made from."""
+
+    spec: tuple = ()
+
+
+def dumps(preds: list[Spec]) -> str:
+    """Predicates as JSON, for a job's configuration."""
+    return json.dumps([[list(p.path), *p.spec] for p in preds])
+
+
+def loads(text: str) -> list[Pred]:
+    return [compare(tuple(path), name, op, value) for path, name, op, value in json.loads(text)]
