@@ -168,3 +168,11 @@ def test_positions(spark, tmp_path):
 def test_predicates_travel_as_text(spark):
     preds = predicate.loads(predicate.dumps([predicate.compare((), "name", "ne", "c"), predicate.compare(("childArr",), "v", "from_to", [5, 7])]))
     assert [r.p for r in nested_filter(nest.nest_all(chain(*family(spark))), preds).collect()] == [1]
+
+
+def test_split_into_paths(spark):
+    df = spark.createDataFrame([random_root(random.Random(9)) for _ in range(20)], ROOT)
+    got = nest.split_paths(df, "A", "A2").collect()
+    want = [(r.x, a.y, z.z) for r in df.collect() for a in r.A for z in a.A2]
+    assert sorted((r.x, r.A[0].y, r.A[0].A2[0].z) for r in got) == sorted(want)
+    assert all(len(r.A) == 1 and len(r.A[0].A2) == 1 for r in got)

@@ -85,7 +85,12 @@ def layer_counts(n: DataFrame) -> DataFrame:
 
 
 def split_paths(n: DataFrame, *path: str) -> DataFrame:
-    """Denormalise: one record per element of the innermost array, which stays nested as a one-element array."""
-    name = path[0]
-    single = n.select(*[c for c in n.columns if c != name], F.explode(name).alias("__x"))
-    return single.select(*[c for c in n.columns if c != name], F.array("__x").alias(name))
+    """Denormalise: a nested record for each record at the end of ``path``, every array on the way holding one element."""
+    names, out = n.columns, n
+    for i, name in enumerate(path):
+        source = F.col(name) if i == 0 else F.col(f"__x{i - 1}.{name}")
+        out = out.select("*", F.explode(source).alias(f"__x{i}"))
+    whole = F.array(F.col(f"__x{len(path) - 1}"))
+    for i in range(len(path) - 1, 0, -1):
+        whole = F.array(F.col(f"__x{i - 1}").withField(path[i], whole))
+    return out.withColumn(path[0], whole).select(*names)
