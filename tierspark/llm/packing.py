@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from heapq import nsmallest
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken
+from .bpe import byte_symbols
 from .common import text_or_empty
 
 #: Pieces packed together. A sequence never mixes blocks, so each block
@@ -28,20 +31,37 @@ SOURCES = 48
 
 @functools.cache
 def _tokenizer(path: str):
+    """The file's tokenizer, a faster encoder for single pieces, and a cache.
+
+    A byte-level file whose merges make the ids in their order is a table of
+    ranks, for which another library has a leaner encoder with equal ids;
+    for other files the pieces are encoded by the file's tokenizer.
+    """
+    import tiktoken
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, merges = model["vocab"], [m if not isinstance(m, str) else m.split(" ") for m in model["merges"]]
+    if not model.get("end_of_word_suffix") and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
+        byte = {c: b for b, c in enumerate(byte_symbols())}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+        one = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    else:
+        one = lambda w: tok.encode(w, add_special_tokens=False).ids
+    return tok, one, {}
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     The tokenizer's merges never cross the pieces that its pattern cuts, so
-    each distinct piece is encoded once, by the library. Texts with a special
-    token's string, or with characters on which Unicode versions differ, are
-    encoded by the library whole.
+    each distinct piece is encoded once. Texts with a special token's string,
+    or with characters on which Unicode versions differ, are encoded by the
+    library whole.
     """
-    tok, cache = _tokenizer(path)
+    tok, one, cache = _tokenizer(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     out: list[np.ndarray] = []
     for a, b in pretoken.chunks(texts):
@@ -52,10 +72,11 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
         if len(cache) + len(new) > CACHE_PIECES:
             cache.clear()
             new = words
-        cache.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True))
-        raw = [cache[w] for w in words]
-        first = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int64)
-        ids, at = pretoken.gather(np.frombuffer(b"".join(raw), np.uint32), first, got.codes)
+        cache.update((w, one(w)) for w in new)
+        held = [cache[w] for w in words]
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))])
+        flat = np.fromiter(chain.from_iterable(held), np.uint32, first[-1])
+        ids, at = pretoken.gather(flat, first, got.codes)
         for d, text in enumerate(part):
             if got.sure[d] and not any(s in text for s in special):
                 out.append(ids[at[got.first[d]] : at[got.first[d + 1]]])
