@@ -28,15 +28,16 @@ def exists_keys(keys: DataFrame, df: DataFrame, pk: tuple[str, ...]) -> DataFram
     return keys.join(there, list(pk), "left").withColumn("exists", F.coalesce("__there", F.lit(False))).drop("__there")
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with ``row_no`` from 0 in the given order, without one task for all rows.
+def numbered(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """Rows with ``row_no`` from 0 in the given order (names or sort columns), without one task for all rows.
 
     Range partitions are sorted and numbered on their own; the partitions'
     sizes, one row each, are summed to offsets.
     """
     from ..streaming.storage import stored
 
-    dealt = stored(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()))
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
