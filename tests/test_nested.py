@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tierspark.operators import access, bloom, layers, nest, runs
 from tierspark.operators.layers import Layer, chain
 from tierspark.plans import predicate
+from tierspark.plans.layer_filter import filter_layers
 from tierspark.plans.nested_filter import flat_filter, narrow_schema, nested_filter
 from tierspark.plans.predicate import Pred, Udf, by_layer, less_than
 from tierspark.sources import readers, writers
@@ -176,3 +177,13 @@ def test_split_into_paths(spark):
     want = [(r.x, a.y, z.z) for r in df.collect() for a in r.A for z in a.A2]
     assert sorted((r.x, r.A[0].y, r.A[0].A2[0].z) for r in got) == sorted(want)
     assert all(len(r.A) == 1 and len(r.A[0].A2) == 1 for r in got)
+
+
+def test_filtering_before_nesting_is_the_same(spark):
+    parent, child = family(spark)
+    grand = Layer("toy", spark.createDataFrame([(100, 10, 1), (101, 10, 9), (102, 11, 9)], "t int, k_id int, w int"), ("t",), ("k_id",))
+    root = chain(parent, child, grand)
+    for preds in ([less_than(("childArr", "toyArr"), "w", 5)], [less_than(("childArr",), "v", 6)], [less_than((), "p", 3), less_than(("childArr", "toyArr"), "w", 50)], []):
+        a = nested_filter(nest.nest_all(root), preds).collect()
+        b = nest.nest_all(filter_layers(root, preds)).collect()
+        assert sorted(map(repr, a)) == sorted(map(repr, b))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .functions import records, schemas
 from .operators import access, bloom, layers, mutate, nest, runs
 from .operators.layers import Layer, chain
+from .plans.layer_filter import filter_layers
 from .plans.nested_filter import flat_filter, narrow_schema, nested_filter, survivor_counts
 from .plans.predicate import Pred, Udf, half_open, less_than
 from .sources import readers, writers
@@ -180,6 +181,12 @@ def filter_three_layers_flat(spark, sf):
     return flat_filter(nested(spark, sf), [BUILDING, DEAR, IN_1996], LINES, _THREE_COLUMNS)
 
 
+@query(_THREE)
+def filter_three_layers_before_nesting(spark, sf):
+    n = nest.nest_all(filter_layers(tree(spark, sf), [BUILDING, DEAR, IN_1996]))
+    return nest.unnest(n, *LINES, keep=["c_custkey", "o_orderkey"]).select(*_THREE_COLUMNS)
+
+
 @query("""SELECT c_custkey, o_orderkey, l_seq FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN {LINES} l ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING'""")
 def filter_root_keeps_empty(spark, sf):
@@ -525,4 +532,5 @@ def validate_rows(spark, sf):
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return filter_three_layers(spark, sf)
+    """Three-layer conjunctive filter over customers, orders and lines, from flat layers."""
+    return filter_three_layers_before_nesting(spark, sf)
