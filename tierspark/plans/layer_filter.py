@@ -30,5 +30,5 @@ def filter_layers(layer: Layer, preds: Sequence[Pred], path: tuple[str, ...] = (
         children.append(kept)
         if any(p.path[: len(below)] == below for p in preds):
             keys = kept.df.select(*[F.col(c).alias(k) for c, k in zip(kept.fk, layer.pk, strict=True)])
-            df = df.join(keys, list(layer.pk), "left_semi")
+            df = df.join(keys, list(layer.pk), "left_semi").select(*layer.df.columns)
     return replace(layer, df=df, children=children)
