@@ -22,9 +22,9 @@ from . import pretoken
 from .common import is_fold, stored, text_or_empty
 
 #: Characters of text whose distinct words are counted together.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 2_000_000
 #: Documents for each bucket of words.
-BUCKET_DOCS = 16_384
+BUCKET_DOCS = 8192
 _PAD = b"\0\0\0"
 _CELLS = 1 << 24
 
@@ -245,7 +245,7 @@ def _base(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out.append(pa.table({
             "_id": pick("ids"), "_hash": pick("hashes"), "_held": pick("helds"), "_words": pick("sizes"),
             "_known": pa.array(np.bincount(text, numbers * (c > 0), len(distinct)).astype(np.int64)),
-            "_sum": pa.array(np.bincount(text, numbers * np.log10(c + 0.5), len(distinct))),
+            "_sum": pa.array(np.bincount(text, numbers * np.log10(c + 0.5), len(distinct)).astype(np.float64)),
         }))
     return pa.concat_tables(out)
 
