@@ -127,17 +127,22 @@ def _apply(layer: Layer, parents: DataFrame | None, parent_pk: tuple[str, ...] |
     base, columns, pk, fk = layer.df, layer.df.columns, list(layer.pk), list(layer.fk)
     rooted = parents is None
     kinds = {f.name: f.dataType for f in base.schema}
+    alive = base.select(*pk).withColumn("__seq", F.lit(-1).cast("long")).withColumn("__alive", F.lit(True))
+    # parents: the parent's key columns, named as this layer's foreign key, with __seq and __alive; -1 is before the log
+    deaths = None if rooted else parents.where("__seq >= 0 and not __alive").groupBy(*fk).agg(F.min("__seq").alias("__seq"))
     log = logs.get(layer.name)
     if log is None:
-        log = base.limit(0).withColumn("op", F.lit("")).withColumn("seq", F.lit(0).cast("long"))
+        # no changes of its own: rows go with their parents, and that is all
+        gone = None if rooted else base.join(deaths, fk).select(*pk, "__seq", F.lit(False).alias("__alive"))
+        after = base if rooted else base.join(deaths, fk, "left_anti").select(*columns)
+        out = Layer(layer.name, after, layer.pk, layer.fk)
+        return _with_children(out, layer, alive if gone is None else alive.unionByName(gone), logs)
     full = [F.col(c) if c in log.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns]
     changes = log.select(*full, F.col("op").alias("__kind"), F.col("seq").cast("long").alias("__seq"), F.lit(1).alias("__rank"), F.lit(None).cast("boolean").alias("__alive"))
     touched = stored(changes.select(*pk).distinct())
     quiet = base.join(touched, pk, "left_anti")
     gone = None
     if not rooted:
-        # parents: the parent's key columns, named as this layer's foreign key, with __seq and __alive; -1 is before the log
-        deaths = parents.where("__seq >= 0 and not __alive").groupBy(*fk).agg(F.min("__seq").alias("__seq"))
         gone = quiet.join(deaths, fk).select(*pk, "__seq", F.lit(False).alias("__alive"))
         quiet = quiet.join(deaths, fk, "left_anti")
     rows = base.join(touched, pk, "left_semi").withColumn("__kind", F.lit("base")).withColumn("__seq", F.lit(-1).cast("long")).withColumn("__rank", F.lit(0)).withColumn("__alive", F.lit(True))
@@ -152,14 +157,16 @@ def _apply(layer: Layer, parents: DataFrame | None, parent_pk: tuple[str, ...] |
     dealt = every.withColumn("__bucket", F.pmod(F.xxhash64(*pk), F.lit(buckets)))
     fold = _fold(columns, pk, fk, rooted, whole)
     folded = stored(dealt.groupBy("__bucket").applyInPandas(lambda part: fold(part), schema))
-    after = stored(quiet.select(*columns).unionByName(folded.where("__kind = 'row'").select(*columns)))
+    after = quiet.select(*columns).unionByName(folded.where("__kind = 'row'").select(*columns))
     out = Layer(layer.name, after, layer.pk, layer.fk)
-    # lives of this layer's keys, for its children: base rows are alive from the start
-    lived = base.select(*pk).withColumn("__seq", F.lit(-1).cast("long")).withColumn("__alive", F.lit(True)).unionByName(folded.where("__kind = 'life'").select(*pk, "__seq", "__alive"))
-    if gone is not None:
-        lived = lived.unionByName(gone)
+    lived = alive.unionByName(folded.where("__kind = 'life'").select(*pk, "__seq", "__alive"))
+    return _with_children(out, layer, lived if gone is None else lived.unionByName(gone), logs)
+
+
+def _with_children(out: Layer, layer: Layer, lived: DataFrame, logs: dict[str, DataFrame]) -> Layer:
+    """Work the children; ``lived`` tells when each key of this layer came and went."""
     for child in layer.children:
-        named = lived.select(*[F.col(p).alias(c) for p, c in zip(pk, child.fk, strict=True)], "__seq", "__alive")
+        named = lived.select(*[F.col(p).alias(c) for p, c in zip(layer.pk, child.fk, strict=True)], "__seq", "__alive")
         out.children.append(_apply(child, named, layer.pk, logs))
     return out
 

@@ -32,3 +32,18 @@ def filter_layers(layer: Layer, preds: Sequence[Pred], path: tuple[str, ...] = (
             keys = kept.df.select(*[F.col(c).alias(k) for c, k in zip(kept.fk, layer.pk, strict=True)])
             df = df.join(keys, list(layer.pk), "left_semi").select(*layer.df.columns)
     return replace(layer, df=df, children=children)
+
+
+def prune_layers(layer: Layer, project: Sequence[str], preds: Sequence[Pred] = (), path: tuple[str, ...] = ()) -> Layer:
+    """The layers with only their keys, the projected columns (dotted paths) and what predicates read.
+
+    Columns inside collected structs are not pruned by the optimizer, so
+    this is done before nesting.
+    """
+    at = ".".join(path) + "." if path else ""
+    below = [c.array for c in layer.children]
+    wanted = [p[len(at) :] for p in project if p.startswith(at) and "." not in p[len(at) :] and p[len(at) :] not in below]
+    wanted += [f for p in preds if p.path == path for f in p.fields]
+    used = [c for c in layer.df.columns if c in wanted or c in layer.pk or c in layer.fk]
+    children = [prune_layers(c, project, preds, (*path, c.array)) for c in layer.children]
+    return replace(layer, df=layer.df.select(*used), children=children)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .functions import records, schemas
 from .operators import access, bloom, layers, mutate, nest, runs
 from .operators.layers import Layer, chain
-from .plans.layer_filter import filter_layers
+from .plans.layer_filter import filter_layers, prune_layers
 from .plans.nested_filter import flat_filter, narrow_schema, nested_filter, survivor_counts
 from .plans.predicate import Pred, Udf, half_open, less_than
 from .sources import readers, writers
@@ -59,8 +59,10 @@ def tree(spark: SparkSession, sf: str, depth: int = 3) -> Layer:
     return chain(*all_[:depth])
 
 
-def nested(spark: SparkSession, sf: str, depth: int = 3) -> DataFrame:
-    return nest.nest_all(tree(spark, sf, depth))
+def nested(spark: SparkSession, sf: str, depth: int = 3, project: list[str] | None = None, preds: list[Pred] = ()) -> DataFrame:
+    """The nested table; with ``project``, of keys and the fields that are needed."""
+    root = tree(spark, sf, depth)
+    return nest.nest_all(root if project is None else prune_layers(root, project, preds))
 
 
 BUILDING = Pred((), lambda r: r["c_mktsegment"] == "BUILDING")
@@ -73,14 +75,14 @@ IN_1996 = half_open(LINES, "l_shipdate", "1996-01-01", "1997-01-01")
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def nest2_counts(spark, sf):
-    return nested(spark, sf, 2).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
+    return nested(spark, sf, 2, []).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
 
 
 @query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_lines
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
 def nest3_counts(spark, sf):
     n_lines = F.aggregate("ordersArr", F.lit(0).cast("long"), lambda acc, o: acc + F.size(o["lineitemArr"]))
-    return nested(spark, sf).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"), n_lines.alias("n_lines"))
+    return nested(spark, sf, 3, []).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"), n_lines.alias("n_lines"))
 
 
 @query("SELECT * FROM {LINES} l")
@@ -119,7 +121,7 @@ def nest_conversations(spark, sf):
 
 @query("""SELECT 'root' AS layer, count(*) AS n FROM customer UNION ALL SELECT 'ordersArr', count(*) FROM orders UNION ALL SELECT 'ordersArr/lineitemArr', count(*) FROM lineitem""")
 def layer_counts(spark, sf):
-    return nest.layer_counts(nested(spark, sf))
+    return nest.layer_counts(nested(spark, sf, 3, []))
 
 
 @query("SELECT count(*) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
@@ -138,7 +140,8 @@ def duplicate_keys(spark, sf):
 
 @query("SELECT c_custkey, o_orderkey, l_partkey, l_seq FROM customer JOIN orders ON o_custkey = c_custkey JOIN {LINES} l ON l_orderkey = o_orderkey")
 def project_nested(spark, sf):
-    n = nested_filter(nested(spark, sf), project=["c_custkey", "ordersArr.o_orderkey", "ordersArr.lineitemArr.l_partkey", "ordersArr.lineitemArr.l_seq"])
+    project = ["c_custkey", "ordersArr.o_orderkey", "ordersArr.lineitemArr.l_partkey", "ordersArr.lineitemArr.l_seq"]
+    n = nested_filter(nested(spark, sf, 3, project), project=project)
     return nest.unnest(n, *LINES, keep=["c_custkey", "o_orderkey"])
 
 
@@ -149,48 +152,50 @@ def project_inner_root(spark, sf):
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_custkey")
 def filter_root(spark, sf):
-    return nested_filter(nested(spark, sf, 2), [BUILDING]).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
+    return nested_filter(nested(spark, sf, 2, [], [BUILDING]), [BUILDING]).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
 
 
 @query("SELECT c_custkey, count(*) AS n_orders FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY c_custkey")
 def filter_mid(spark, sf):
-    return nested_filter(nested(spark, sf, 2), [DEAR]).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
+    return nested_filter(nested(spark, sf, 2, [], [DEAR]), [DEAR]).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
 
 
 @query("""SELECT c_custkey, o_orderkey, l_seq FROM customer JOIN orders ON o_custkey = c_custkey JOIN {LINES} l ON l_orderkey = o_orderkey
 WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'""")
 def filter_leaf(spark, sf):
-    return nest.unnest(nested_filter(nested(spark, sf), [IN_1996]), *LINES, keep=["c_custkey", "o_orderkey"]).select("c_custkey", "o_orderkey", "l_seq")
+    return nest.unnest(nested_filter(nested(spark, sf, 3, [], [IN_1996]), [IN_1996]), *LINES, keep=["c_custkey", "o_orderkey"]).select("c_custkey", "o_orderkey", "l_seq")
 
 
 _THREE = """SELECT c_custkey, o_orderkey, l_seq, l_partkey, l_extendedprice, l_shipdate FROM customer JOIN orders ON o_custkey = c_custkey
 JOIN {LINES} l ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 100000
 AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'"""
+_THREE_PATHS = [f"ordersArr.lineitemArr.{c}" for c in ("l_partkey", "l_extendedprice", "l_shipdate")]
 _THREE_COLUMNS = ["c_custkey", "o_orderkey", "l_seq", "l_partkey", "l_extendedprice", "l_shipdate"]
 
 
 @query(_THREE)
 def filter_three_layers(spark, sf):
     """Nested shape, unnested for the comparison."""
-    n = nested_filter(nested(spark, sf), [IN_1996, BUILDING, DEAR])
+    n = nested_filter(nested(spark, sf, 3, _THREE_PATHS, [BUILDING, DEAR, IN_1996]), [IN_1996, BUILDING, DEAR])
     return nest.unnest(n, *LINES, keep=["c_custkey", "o_orderkey"]).select(*_THREE_COLUMNS)
 
 
 @query(_THREE)
 def filter_three_layers_flat(spark, sf):
-    return flat_filter(nested(spark, sf), [BUILDING, DEAR, IN_1996], LINES, _THREE_COLUMNS)
+    return flat_filter(nested(spark, sf, 3, _THREE_PATHS, [BUILDING, DEAR, IN_1996]), [BUILDING, DEAR, IN_1996], LINES, _THREE_COLUMNS)
 
 
 @query(_THREE)
 def filter_three_layers_before_nesting(spark, sf):
-    n = nest.nest_all(filter_layers(tree(spark, sf), [BUILDING, DEAR, IN_1996]))
+    preds = [BUILDING, DEAR, IN_1996]
+    n = nest.nest_all(filter_layers(prune_layers(tree(spark, sf), _THREE_PATHS, preds), preds))
     return nest.unnest(n, *LINES, keep=["c_custkey", "o_orderkey"]).select(*_THREE_COLUMNS)
 
 
 @query("""SELECT c_custkey, o_orderkey, l_seq FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN {LINES} l ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING'""")
 def filter_root_keeps_empty(spark, sf):
-    return flat_filter(nested(spark, sf), [BUILDING], LINES, ["c_custkey", "o_orderkey", "l_seq"], outer=True)
+    return flat_filter(nested(spark, sf, 3, [], [BUILDING]), [BUILDING], LINES, ["c_custkey", "o_orderkey", "l_seq"], outer=True)
 
 
 @query("""WITH c AS (SELECT * FROM customer WHERE c_acctbal > 5000), s AS (SELECT * FROM supplier WHERE s_acctbal > 0)
@@ -230,7 +235,7 @@ WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 100000 AND l_shipdate >= TIME
 SELECT 'root' AS layer, count(DISTINCT c_custkey) AS n FROM f UNION ALL SELECT 'ordersArr', count(DISTINCT o_orderkey) FROM f
 UNION ALL SELECT 'ordersArr/lineitemArr', count(*) FROM f""")
 def survivor_count(spark, sf):
-    return survivor_counts(nested(spark, sf), [BUILDING, DEAR, IN_1996], [(), ORDERS, LINES])
+    return survivor_counts(nested(spark, sf, 3, [], [BUILDING, DEAR, IN_1996]), [BUILDING, DEAR, IN_1996], [(), ORDERS, LINES])
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000")
