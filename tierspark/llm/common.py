@@ -53,3 +53,9 @@ def is_fold(mod: int, col: Column | str = "doc_id") -> Column:
     col = F.col(col) if isinstance(col, str) else col
     key = F.coalesce(col.cast("string"), F.lit("")).cast("binary")
     return F.crc32(key) % mod == 1
+
+
+def id_key(col: Column | str) -> Column:
+    """An id as text that is never null, so that joins and groupings on it share one partitioning."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit(""))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, text_or_empty
+from .common import ASCII_SPACE, id_key, text_or_empty
 
 
 def normalised(text: Column | str = "text") -> Column:
@@ -85,18 +85,10 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows that stay, with all their columns.
 
     Joins the whole rows with the winners on hash, id and length, so that no
-    join key is hotter than one row, and drops repeats of the winning row.
+    join key is hotter than one row; repeats of the winning row go without
+    another shuffle, as they are grouped by the join's keys.
     """
-    names = docs.columns
-    digest = _digest(docs, id_col, text_col)
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *digest)
-    won = classes(docs, id_col, text_col).select(
-        "_hash", "_sha", F.coalesce(F.hash("keep_id"), F.lit(0)).alias("_k"), F.col("keep_id").alias("_keep"), F.col("keep_chars").alias("_chars")
-    )
-    keyed = keyed.withColumn("_k", F.coalesce(F.hash("_id"), F.lit(0)))
-    return (
-        keyed.join(won, ["_hash", "_sha", "_chars", "_k"])
-        .where(F.col("_id").eqNullSafe(F.col("_keep")))
-        .dropDuplicates(["_hash", "_sha", "_chars", "_k"])
-        .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
-    )
+    names, keys = docs.columns, ["_hash", "_sha", "_chars", "_key"]
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *_digest(docs, id_col, text_col)).withColumn("_key", id_key("_id"))
+    won = classes(docs, id_col, text_col).select("_hash", "_sha", F.col("keep_chars").alias("_chars"), id_key("keep_id").alias("_key"))
+    return keyed.join(won, keys).dropDuplicates(keys).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
