@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import id_key, stored, text_or_empty
 from .components import components
 
 #: Words in a shingle of the contract, its seed, and the distance that links.
@@ -197,10 +197,11 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     text_hash = F.xxhash64(text_or_empty(text_col))
     found = stored(fingerprints(docs, text_col, words_each, carry=[F.col(id_col).alias("_id"), text_hash.alias("_hash")]), "fingerprints")
     first = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
-    won = found.join(classes(found, most).withColumnRenamed("component_id", "_component"), "_fp")
-    won = won.groupBy(F.coalesce(F.col("_component").cast("string"), F.concat(F.lit("print "), F.col("_fp"))).alias("_c")).agg(F.min(first).alias("w"))
+    own = found.groupBy("_fp").agg(F.min(first).alias("_first"))  # copies meet before the join
+    won = own.join(classes(found, most).withColumnRenamed("component_id", "_component"), "_fp")
+    won = won.groupBy(F.coalesce(F.col("_component").cast("string"), F.concat(F.lit("print "), F.col("_fp"))).alias("_c")).agg(F.min("_first").alias("w"))
     names = docs.columns
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(id_col).alias("_id"), text_hash.alias("_hash"))
-    won = won.select(F.col("w.id").alias("_won"), F.col("w.hash").alias("_won_hash")).distinct()
-    kept = keyed.join(won, keyed["_id"].eqNullSafe(won["_won"]) & (keyed["_hash"] == won["_won_hash"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], id_key(id_col).alias("_key"), text_hash.alias("_hash"))
+    won = won.select(id_key("w.id").alias("_key"), F.col("w.hash").alias("_hash")).distinct()
+    # repeats go without another shuffle, as they are grouped by the join's keys
+    return keyed.join(won, ["_key", "_hash"]).dropDuplicates(["_key", "_hash"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
