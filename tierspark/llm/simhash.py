@@ -182,8 +182,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows stay; only two columns are read; an empty table gives no rows.
     """
     found = stored(fingerprints(docs, text_col, carry=[F.col(id_col).alias("_id")]), "fingerprints")
+    # both sides of the join are plain tables, so that adaptive execution can split a hot fingerprint's rows
     return (
-        found.join(classes(found, most), "_fp")
+        found.join(stored(classes(found, most), "classes"), "_fp")
         .select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
 
