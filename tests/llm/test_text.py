@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tierspark.llm import ann, bpe, components, exact_dedup, lm_score, packing, pretoken, quality, queries, simhash
+from tierspark.llm import ann, bpe, components, exact_dedup, lm_score, near, packing, pretoken, quality, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -401,3 +401,30 @@ def test_pipeline_takes_odd_rows(spark, docs):
     assert corpus_pipeline.STAGES[3][1](spark, plain, SF).count() >= plain.count()
     good = corpus_pipeline.STAGES[0][1](spark, plain.limit(0), SF)
     assert good.count() == 0
+
+
+def test_pipeline_near_stage_links_edited_copies(spark):
+    """All pairs of a five-word Jaccard similarity of 0.8 or more are linked, no others, whatever their fingerprints."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(30):
+        base = rng.integers(0, 5000, 200).tolist()
+        for edits in (0, 1, 2, 3, 4, 5, 8):
+            words = list(base)
+            for p in rng.integers(0, 200, edits):
+                words[p] = int(rng.integers(5000, 9000))
+            texts.append(" ".join(f"w{x}" for x in words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    label = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [label[i] if x == label[j] else x for x in label]
+    least = {}
+    for i, c in enumerate(label):
+        least.setdefault(c, i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, df, SF).collect())
+    assert kept == sorted(least.values())
+    assert len(kept) < simhash.drop_near(df).count()
+    assert [near.bands(near.shingles(t)).size for t in ("", "a", texts[0])] == [0, near.BANDS, near.BANDS]
