@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tempfile
 import zlib
 from collections import Counter
 
@@ -250,6 +251,39 @@ def test_lm_scores(spark, docs, none):
     assert {r.score for r in lm_score.score(docs.where("doc_id = 4")).collect()} == {0.0}
 
 
+def test_lm_contexts_are_exact_and_long(spark, monkeypatch):
+    """The longest of 0 to 5 bytes that knows the byte predicts it, over several batches and buckets."""
+    monkeypatch.setattr(lm_score, "BUCKET_DOCS", 20)
+    monkeypatch.setattr(lm_score, "BATCH_CHARS", 3000)
+    rng = np.random.default_rng(1)
+    rows = [(i, "".join(rng.choice(list("abc \u00e9\u4e2d"), 200))) for i in range(60)]
+    levels = [{} for _ in range(6)]
+    for i, t in rows:
+        raw = b"\0" * 5 + t.encode()
+        for p in range(5, len(raw)) if not held(i, 5) else ():
+            for k, level in enumerate(levels):
+                level.setdefault(raw[p - k : p], Counter())[raw[p]] += 1
+
+    def prob(ctx, s):
+        p, barred = 1.0, set()
+        for k in range(5, -1, -1):
+            here = {x: n for x, n in levels[k].get(ctx[5 - k :], {}).items() if x not in barred}
+            barred |= set(here)
+            if s in here:
+                return p * here[s] / (sum(here.values()) + len(here))
+            if here:
+                p *= len(here) / (sum(here.values()) + len(here))
+        return p / (256 - len(barred))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.mode("overwrite").parquet(path := f"{tempfile.mkdtemp()}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op7_lm_score(spark, path.rsplit("/", 1)[0]).collect()}
+    assert len(got) == 60
+    for i, t in rows:
+        raw = b"\0" * 5 + t.encode()
+        assert got[i] == pytest.approx(sum(math.log10(prob(raw[p - 5 : p], raw[p])) for p in range(5, len(raw))), rel=1e-5)
+
+
 # ---- SimHash
 
 

@@ -1,11 +1,13 @@
 """Language-model scores: prediction by partial matching over bytes, and a word unigram base.
 
-The trie's nodes are contexts of 0 to 3 bytes. Levels 0 to 2 are exact;
-level 3 is addressed by a 16-bit hash of its three bytes, so each level has
-at most 2^24 (context, byte) counts, whatever the corpus is, and the counts
-of all training documents go in. A byte is predicted by the longest context
-that knows it; each context passed over costs its escape (method C: as many
-escapes as distinct symbols), and its symbols are excluded further down.
+The trie's nodes are contexts of 0 to ``order`` bytes, all exact, and the
+counts of all training documents go in, so it grows with the corpus. A byte
+is predicted by the longest context that knows it; each context passed over
+costs its escape (method C: as many escapes as distinct symbols), and its
+symbols are excluded further down. Codes (a context and its byte) are dealt
+to buckets by the three bytes before the byte: a bucket holds whole nodes of
+three bytes and more, and all that lie above them. Levels 0 to 2, which have
+2^24 counts at most by nature, go to every bucket.
 """
 
 from __future__ import annotations
@@ -21,35 +23,31 @@ from pyspark.sql import functions as F
 from . import pretoken
 from .common import is_fold, stored, text_or_empty
 
-#: Characters of text whose distinct words are counted together.
-BATCH_CHARS = 2_000_000
-#: Documents for each bucket of words.
+#: Bytes of the longest context in the query.
+ORDER = 5
+#: Characters of text whose distinct words and codes are counted together.
+BATCH_CHARS = 6_000_000
+#: Documents for each bucket of words and codes.
 BUCKET_DOCS = 8192
-_PAD = b"\0\0\0"
-_CELLS = 1 << 24
 
 
-def _contexts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte, its 4-byte code (three before it, itself); which text begins where.
+def _contexts(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every byte, its code (``order`` bytes before it, itself); which text begins where.
 
-    Before a text stand three zero bytes.
+    Before a text stand zero bytes.
     """
-    data = np.frombuffer(_PAD + _PAD.join(raw), np.uint8).astype(np.uint32)
+    pad = b"\0" * order
+    data = np.frombuffer(pad + pad.join(raw), np.uint8)
     sizes = np.array([len(r) for r in raw], np.int64)
-    code = (data[:-3] << np.uint32(24)) | (data[1:-2] << np.uint32(16)) | (data[2:-1] << np.uint32(8)) | data[3:]
-    ends = np.cumsum(sizes + 3)
-    real = np.ones(len(code) + 3, bool)
-    for k in range(3):
-        real[ends[:-1] - 3 + k] = False
-    # code[i] ends at data[i + 3]; a text's bytes are at its start + 3 ...
-    code = code[real[: len(code)]] if len(raw) > 1 else code
-    return code, np.concatenate([[0], np.cumsum(sizes)]), sizes
-
-
-def _slot(code: np.ndarray) -> np.ndarray:
-    """Level 3: 16 bits for the three context bytes, then the byte."""
-    mixed = (code >> np.uint32(8)) * np.uint32(0x9E3779B1)
-    return ((mixed >> np.uint32(16)) << np.uint32(8)) | (code & np.uint32(0xFF))
+    code = data[: len(data) - order].astype(np.int64)
+    for k in range(1, order + 1):
+        code <<= 8
+        code |= data[k : len(data) - order + k]
+    ends = np.cumsum(sizes + order)
+    real = np.ones(len(code), bool)
+    for k in range(order):
+        real[ends[:-1] - order + k] = False
+    return code[real], np.concatenate([[0], np.cumsum(sizes)]), sizes
 
 
 def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,34 +56,46 @@ def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[at], np.diff(np.append(at, len(codes)))
 
 
-class Trie:
-    """Counts by level, and the code length of any byte in any context."""
+def _dealt(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct codes by bucket, and where each bucket begins."""
+    mixed = ((codes >> 8) & 0xFFFFFF).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
 
-    def __init__(self, top: tuple[np.ndarray, np.ndarray], mid: tuple[np.ndarray, np.ndarray]):
-        """Sorted codes and counts of level 3 (slot, byte) and level 2 (two bytes, byte)."""
-        self.levels = [top, mid]
-        codes, counts = mid
+class Trie:
+    """Counts by level, and the code length of a byte in its context."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, mid: tuple[np.ndarray, np.ndarray]):
+        """Sorted codes and counts of the highest level, and of level 2 (``mid``)."""
+        self.order, self.levels = order, [(codes, counts)]
+        for k in range(order - 1, 2, -1):
+            low, back = np.unique(codes & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            self.levels.append((low, np.bincount(back, counts, len(low)).astype(np.int64)))
+        self.levels.append(mid)
         for mask in (0xFFFF, 0xFF):
-            low = codes & mask
-            summed = np.bincount(low, counts, mask + 1).astype(np.int64)
+            low = mid[0] & mask
+            summed = np.bincount(low, mid[1], mask + 1).astype(np.int64)
             self.levels.append((np.flatnonzero(summed), summed[summed > 0]))
-        self.known: dict[int, float] = {}
-        self.table = np.full(_CELLS, np.nan, np.float32)
-        codes, counts = top
-        if len(codes):
-            slot = codes >> 8
-            first = np.flatnonzero(np.diff(slot, prepend=-1))
-            total, kinds = np.add.reduceat(counts, first), np.diff(np.append(first, len(codes)))
-            rest = np.where(kinds == 256, 0, kinds)  # nothing is left to escape to
-            group = np.cumsum(np.diff(slot, prepend=-1) != 0) - 1
-            self.table[codes] = np.log10(counts / (total + rest)[group])
+
+    def known(self) -> np.ndarray:
+        """log10 of the probability of each code of the highest level."""
+        codes, counts = self.levels[0]
+        if not len(codes):
+            return np.zeros(0)
+        new = np.diff(codes >> 8, prepend=-1) != 0
+        first = np.flatnonzero(new)
+        total, kinds = np.add.reduceat(counts, first), np.diff(np.append(first, len(codes)))
+        rest = np.where(kinds == 256, 0, kinds)  # nothing is left to escape to
+        return np.log10(counts / (total + rest)[np.cumsum(new) - 1])
 
     def chain(self, code: int) -> float:
-        """log10 of the probability of one byte, down from level 3."""
+        """log10 of the probability of one byte, down from the highest level."""
         symbol = code & 0xFF
-        nodes = (int(_slot(np.array([code], np.uint32))[0]) >> 8, (code >> 8) & 0xFFFF, (code >> 8) & 0xFF, 0)
         out, barred = 0.0, np.zeros(256, bool)
-        for node, (codes, counts) in zip(nodes, self.levels, strict=True):
+        for k, (codes, counts) in zip(range(self.order, -1, -1), self.levels, strict=True):
+            node = (code >> 8) & ((1 << 8 * k) - 1)
             a, b = np.searchsorted(codes, [node << 8, (node + 1) << 8])
             symbols, held = codes[a:b] & 0xFF, counts[a:b]
             free = ~barred[symbols]
@@ -101,223 +111,179 @@ class Trie:
             out += np.log10(escapes / whole)
         return out - np.log10(256 - barred.sum())
 
-    def score(self, raw: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, given the trie."""
-        code, first, sizes = _contexts(raw)
-        cost = self.table[_slot(code)].astype(np.float64)
-        missing = np.flatnonzero(np.isnan(cost))
-        if len(missing):
-            which, back = np.unique(code[missing], return_inverse=True)
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            cost[missing] = np.array([self.known[c] if c in self.known else self.known.setdefault(c, self.chain(c)) for c in which.tolist()])[back]
-        out = np.zeros(len(raw))
-        full = sizes > 0
-        if full.any():
-            out[full] = np.add.reduceat(cost, first[:-1][full])
-        return out
-
 
 def _fields(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), is_fold(5, id_col).alias("_held"), text.alias("_text"))
+    return docs.select(F.col(id_col).alias("_id"), is_fold(5, id_col).alias("_held"), text.alias("_text"))
 
 
-def _gather(docs: DataFrame, buckets: int) -> DataFrame:
-    """One pass over all texts. Rows of three kinds, by batch of texts:
+def _lists(values: np.ndarray | pa.Array, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
 
-    words (``bucket, words, counts``: distinct words and their training
-    counts), documents (``ids, hashes, helds``, and for each its distinct
-    words' places in the batch's word lists and their numbers), and trie
-    counts (``level, codes, tallies``).
-    """
-    kind = docs.schema["_id"].dataType.simpleString()
-    schema = (
-        "batch long, bucket int, words array<string>, counts array<long>, "
-        f"ids array<{kind}>, hashes array<long>, helds array<boolean>, sizes array<long>, distinct array<int>, places binary, numbers binary, "
-        "level int, codes array<int>, tallies array<long>"
-    )
 
-    def lists(values: np.ndarray | pa.Array, at: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
+def _batches(docs: DataFrame) -> DataFrame:
+    """Batches of texts (``ids, helds, texts``), and rows of their training counts at level 2 (``codes, tallies``)."""
+    kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 32
         for record in batches:
-            texts = record.column(3).to_pylist()
-            helds = record.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            texts = record.column(2).to_pylist()
             for a, b in pretoken.chunks(texts, BATCH_CHARS):
-                lower = [t.encode().lower().decode() for t in texts[a:b]]  # bytes: A-Z alone
-                got = pretoken.split_words(lower)
-                held, n = helds[a:b], b - a
-                counts = np.diff(got.first)
-                used, codes = np.unique(got.codes, return_inverse=True)
-                names = [got.words[i].as_py() for i in used.tolist()] if len(used) < 64 else got.words.take(pa.array(used)).to_pylist()
-                bucket = np.array([zlib.crc32(w.encode()) % buckets for w in names], np.int64)
-                order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                codes = place[codes] if len(codes) else codes
-                text = np.repeat(np.arange(n), counts)
-                trained = np.bincount(codes[~held[text]], minlength=len(used))
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                many = max(1, len(used))
-                pairs, numbers = np.unique(text * many + codes, return_counts=True)
-                distinct = np.bincount(pairs // many, minlength=n)
-                words = pa.array([names[i] for i in order.tolist()], pa.string())
-                out = {
-                    "batch": pa.array([uid] * buckets, pa.int64()),
-                    "bucket": pa.array(range(buckets), pa.int32()),
-                    "words": lists(words, edge),
-                    "counts": lists(trained.astype(np.int64), edge),
-                }
-                yield out
-                one = np.array([0, n])
-                yield {
-                    "batch": pa.array([uid], pa.int64()),
-                    "ids": lists(record.column(0).slice(a, n), one),
-                    "hashes": lists(record.column(1).slice(a, n), one),
-                    "helds": lists(pa.array(held), one),
-                    "sizes": lists(counts.astype(np.int64), one),
-                    "distinct": lists(distinct.astype(np.int32), one),
-                    "places": pa.array([(pairs % many).astype("<u4").tobytes()], pa.binary()),
-                    "numbers": pa.array([numbers.astype("<u4").tobytes()], pa.binary()),
-                }
-                raw = [t.encode() for t, h in zip(texts[a:b], held, strict=True) if not h]
-                for part_a, part_b in pretoken.chunks(raw, BATCH_CHARS // 2):
-                    code, _, _ = _contexts(raw[part_a:part_b])
-                    for level, c in ((3, _slot(code)), (2, code & np.uint32(_CELLS - 1))):
-                        if len(c):
-                            found, tallies = _tally(c)
-                            all_of = np.array([0, len(found)])
-                            yield {"batch": pa.array([uid], pa.int64()), "level": pa.array([level], pa.int32()), "codes": lists(found.astype(np.int32), all_of), "tallies": lists(tallies.astype(np.int64), all_of)}
+                n = b - a
+                helds = record.column(1).slice(a, n).to_numpy(zero_copy_only=False).astype(bool)
+                code, _, _ = _contexts([t.encode() for t, h in zip(texts[a:b], helds, strict=True) if not h], 2)
+                found, tallies = _tally(code.astype(np.uint32))
+                one, all_of = np.array([0, n]), np.array([0, len(found)])
+                whole = [_lists(pa.array(record.column(c).slice(a, n)), one) for c in range(3)]
+                made = [*whole, _lists(found.astype(np.int32), all_of), _lists(tallies.astype(np.int64), all_of)]
+                yield pa.RecordBatch.from_arrays([pa.array([uid]), *made], names=["batch", "ids", "helds", "texts", "codes", "tallies"])
                 uid += 1
 
-    names = [x.split()[0] for x in schema.split(", ")]
-    types = {
-        "batch": pa.int64(), "bucket": pa.int32(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int64()), "hashes": pa.list_(pa.int64()), "helds": pa.list_(pa.bool_()),
-        "sizes": pa.list_(pa.int64()), "distinct": pa.list_(pa.int32()), "places": pa.binary(), "numbers": pa.binary(), "level": pa.int32(), "codes": pa.list_(pa.int32()), "tallies": pa.list_(pa.int64()),
-    }
+    return docs.mapInArrow(run, f"batch long, ids array<{kind}>, helds array<boolean>, texts array<string>, codes array<int>, tallies array<long>")
+
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def typed() -> Iterator[pa.RecordBatch]:
-            for record in batches:
-                own.setdefault("ids", pa.list_(record.column(0).type))
-                yield record
+class _Words:
+    """The words of a batch of texts, its distinct words by bucket, and where each bucket begins."""
 
-        own: dict[str, pa.DataType] = {}
-        for row in run(typed()):
-            rows = len(row["batch"])
-            yield pa.RecordBatch.from_arrays([row[c] if c in row else pa.nulls(rows, own["ids"] if c == "ids" else types[c]) for c in names], names=names)
+    def __init__(self, texts: list[str], buckets: int):
+        got = pretoken.split_words([t.encode().lower().decode() for t in texts])  # bytes: A-Z alone
+        used, codes = np.unique(got.codes, return_inverse=True)
+        names = [got.words[i].as_py() for i in used.tolist()] if len(used) < 64 else got.words.take(pa.array(used)).to_pylist()
+        bucket = np.array([zlib.crc32(w.encode()) % buckets for w in names], np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.codes = place[codes] if len(codes) else codes
+        self.counts = np.diff(got.first)
+        self.text = np.repeat(np.arange(len(texts)), self.counts)
+        self.names = [names[i] for i in order.tolist()]
+        self.edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
 
-    return docs.mapInArrow(whole, schema)
 
+def _ask(whole: DataFrame, buckets: int, order: int) -> DataFrame:
+    """For each batch and bucket, its distinct words and codes with their training counts."""
 
-def _answer(table: pa.Table) -> pa.Table:
-    """The corpus counts of one bucket's words, for each batch that asked; and the bucket's sums."""
-    words, counts = table.column("words").combine_chunks(), table.column("counts").combine_chunks()
-    sizes = np.diff(words.offsets.to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in batches:
+            for row in range(len(record)):
+                texts, held = record.column(2)[row].as_py(), np.array(record.column(1)[row].as_py(), bool)
+                words = _Words(texts, buckets)
+                trained = np.bincount(words.codes[~held[words.text]], minlength=len(words.names)).astype(np.int64)
+                code, _, sizes = _contexts([t.encode() for t in texts], order)
+                code <<= 1
+                code |= np.repeat(~held, sizes)
+                code.sort()
+                at = np.flatnonzero(np.diff(code >> 1, prepend=-1))
+                tallies = np.add.reduceat(code & 1, at) if len(at) else np.zeros(0, np.int64)
+                code = code[at] >> 1
+                by, edge = _dealt(code, buckets)
+                made = [_lists(pa.array(words.names, pa.string()), words.edge), _lists(trained, words.edge), _lists(code[by], edge), _lists(tallies[by].astype(np.int32), edge)]
+                for k in range(buckets):
+                    yield pa.RecordBatch.from_arrays(
+                        [record.column(0).slice(row, 1), pa.array([k], pa.int32()), *[m.slice(k, 1) for m in made]], names=["batch", "bucket", "words", "counts", "codes", "tallies"]
+                    )
+
+    return whole.select("batch", "helds", "texts").mapInArrow(run, "batch long, bucket int, words array<string>, counts array<long>, codes array<long>, tallies array<int>")
+
+
+def _answer(table: pa.Table, order: int, mid: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """For each batch that asked: corpus counts of one bucket's words, log10 probabilities of its codes; and the bucket's sums."""
+    words, counts, asked, tallies = (table.column(c).combine_chunks() for c in ("words", "counts", "codes", "tallies"))
+    at = lambda lists: np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+    back = lambda lists, values: pa.ListArray.from_arrays(pa.array(at(lists), pa.int32()), pa.array(values))
     coded = words.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     total = np.bincount(codes, counts.flatten().to_numpy(), len(coded.dictionary)).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    back = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(total[codes]))
-    n = len(table)
-    out = pa.table({"batch": table.column("batch").combine_chunks(), "bucket": table.column("bucket").combine_chunks(), "corpus": back, "tokens": pa.nulls(n, pa.int64()), "kinds": pa.nulls(n, pa.int64())})
-    sums = pa.table({"batch": pa.nulls(1, pa.int64()), "bucket": table.column("bucket").slice(0, 1).combine_chunks(), "corpus": pa.nulls(1, out.schema.field("corpus").type), "tokens": pa.array([int(total.sum())]), "kinds": pa.array([int((total > 0).sum())])})
-    return pa.concat_tables([out, sums])
-
-
-def _base(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """For each document of a batch: sum of log10(c + 0.5), tokens and known tokens, of its words."""
+    distinct, place = np.unique(asked.flatten().to_numpy(), return_inverse=True)
+    n = np.bincount(place, tallies.flatten().to_numpy(), len(distinct)).astype(np.int64)
+    trie = Trie(distinct[n > 0], n[n > 0], order, mid)
+    cost = np.empty(len(distinct))
+    cost[n > 0] = trie.known()
+    cost[n == 0] = [trie.chain(c) for c in distinct[n == 0].tolist()]
+    out = pa.table({
+        "batch": table.column("batch").combine_chunks(), "bucket": table.column("bucket").combine_chunks(), "corpus": back(words, total[codes]),
+        "costs": back(asked, cost.astype(np.float32)[place]), "tokens": pa.nulls(len(table), pa.int64()), "kinds": pa.nulls(len(table), pa.int64()),
+    })
+    sums = {"bucket": table.column("bucket").slice(0, 1).combine_chunks(), "tokens": pa.array([int(total.sum())]), "kinds": pa.array([int((total > 0).sum())])}
+    return pa.concat_tables([out, pa.table({f.name: sums.get(f.name, pa.nulls(1, f.type)) for f in out.schema})])
+
+
+def _scores(docs: pa.Table, answers: pa.Table, buckets: int, order: int) -> pa.Table:
+    """For each document of a batch: its words, the known ones, their sum of log10(c + 0.5), and the score."""
     answers = answers.sort_by("bucket")
-    corpus = answers.column("corpus").combine_chunks()
-    count = (pa.concat_arrays(corpus.chunks) if isinstance(corpus, pa.ChunkedArray) else corpus).flatten().to_numpy()
+    corpus, costs = (pa.concat_arrays([c.flatten() for c in answers.column(x).chunks]).to_numpy() for x in ("corpus", "costs"))
     out = []
     for row in range(len(docs)):
-        pick = lambda c: docs.column(c)[row].values  # noqa: B023, E731
-        distinct = pick("distinct").to_numpy()
-        places, numbers = (np.frombuffer(docs.column(c)[row].as_py(), "<u4").astype(np.int64) for c in ("places", "numbers"))
-        text = np.repeat(np.arange(len(distinct)), distinct)
-        c = count[places]
+        texts = docs.column("texts")[row].as_py()
+        words = _Words(texts, buckets)
+        c = corpus[words.codes]
+        code, first, sizes = _contexts([t.encode() for t in texts], order)
+        distinct, back = np.unique(code, return_inverse=True)
+        place = np.empty(len(distinct), np.int64)
+        place[_dealt(distinct, buckets)[0]] = np.arange(len(distinct))
+        score, full = np.zeros(len(texts)), sizes > 0
+        if full.any():
+            score[full] = np.add.reduceat(costs[place][back].astype(np.float64), first[:-1][full])
         out.append(pa.table({
-            "_id": pick("ids"), "_hash": pick("hashes"), "_held": pick("helds"), "_words": pick("sizes"),
-            "_known": pa.array(np.bincount(text, numbers * (c > 0), len(distinct)).astype(np.int64)),
-            "_sum": pa.array(np.bincount(text, numbers * np.log10(c + 0.5), len(distinct)).astype(np.float64)),
+            "_id": docs.column("ids")[row].values, "_held": docs.column("helds")[row].values, "_words": pa.array(words.counts.astype(np.int64)),
+            "_known": pa.array(np.bincount(words.text, c > 0, len(texts)).astype(np.int64)),
+            "_sum": pa.array(np.bincount(words.text, np.log10(c + 0.5), len(texts)).astype(np.float64)), "score": pa.array(score),
         }))
     return pa.concat_tables(out)
 
 
-def _trie(tallies: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The summed trie counts, at most 2^24 a level, to the driver."""
-    pairs = F.explode(F.arrays_zip("codes", "tallies"))
-    summed = tallies.where("level is not null").select("level", pairs.alias("z")).groupBy("level", F.col("z.codes").alias("code")).agg(F.sum("z.tallies").alias("n"))
-    got = summed.toArrow()
-    level, code, n = (got.column(c).to_numpy() for c in ("level", "code", "n"))
-    out = []
-    for k in (3, 2):
-        own = level == k
-        order = np.argsort(code[own])
-        out.append((code[own][order].astype(np.int64), n[own][order].astype(np.int64)))
-    return out
+def _level_2(batches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The summed counts of level 2, at most 2^24, to the driver."""
+    got = batches.select(F.explode(F.arrays_zip("codes", "tallies")).alias("z")).groupBy(F.col("z.codes").alias("code")).agg(F.sum("z.tallies").alias("n")).toArrow()
+    code, n = (got.column(c).to_numpy() for c in ("code", "n"))
+    order = np.argsort(code)
+    return code[order].astype(np.int64), n[order].astype(np.int64)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Counts come from all rows whose fold (crc32 of the id as text, mod 5) is
     not 1. Null texts count as empty: one token, the end, and ``score`` 0; a
     null id is not held out; repeated rows each count and each get a row;
-    only two columns are read; an empty table gives no rows.
+    only two columns are read; an empty table gives no rows. ``order``, the
+    bytes of the longest context, is 3 to 6.
 
-    Base: each batch of texts sends its distinct words, with their training
-    counts, to buckets by word hash, and gets corpus counts back, so a word
-    travels once for each batch that holds it and no vocabulary is broadcast.
+    Each batch of texts sends its distinct words and codes, with their
+    training counts, to buckets, and gets corpus counts and probabilities
+    back; so each travels once for each batch that holds it, and neither
+    vocabulary nor trie is broadcast.
     """
+    if not 3 <= order <= 6:
+        raise ValueError("contexts have 3 to 6 bytes at most")
     fields = _fields(docs, id_col, text_col)
     buckets = max(1, round(docs.count() / BUCKET_DOCS))
     kind = docs.schema[id_col].dataType.simpleString()
-    gathered = stored(_gather(fields, buckets), "lm-gathered")
-
-    model = docs.sparkSession.sparkContext.broadcast(_trie(gathered))  # at most 2^24 counts a level
-    cache: dict[str, Trie] = {}
-
-    def ppm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "trie" not in cache:
-            cache["trie"] = Trie(*model.value)
-        for record in batches:
-            texts = record.column(2).to_pylist()
-            got = [cache["trie"].score([t.encode() for t in texts[a:b]]) for a, b in pretoken.chunks(texts)]
-            yield pa.RecordBatch.from_arrays([record.column(0), record.column(1), pa.array(np.concatenate([np.zeros(0), *got]))], names=["_id", "_hash", "score"])
-
-    scored = fields.select("_id", "_hash", "_text").mapInArrow(ppm, f"_id {kind}, _hash long, score double")
-    scored = scored.groupBy("_id", "_hash").agg(F.first("score").alias("score"))
-
-    asked = gathered.where("bucket is not null").select("batch", "bucket", "words", "counts")
-    answers = stored(asked.groupBy("bucket").applyInArrow(_answer, "batch long, bucket int, corpus array<long>, tokens long, kinds long"), "lm-answers")
-    whole = gathered.where("ids is not null").select("batch", "ids", "hashes", "helds", "sizes", "distinct", "places", "numbers")
-    based = whole.groupBy("batch").cogroup(answers.where("batch is not null").select("batch", "bucket", "corpus").groupBy("batch")).applyInArrow(
-        _base, f"_id {kind}, _hash long, _held boolean, _words long, _known long, _sum double"
+    batches = stored(_batches(fields), "lm-batches")
+    model = docs.sparkSession.sparkContext.broadcast(_level_2(batches))
+    asked = _ask(batches, buckets, order).groupBy("bucket").applyInArrow(
+        lambda t: _answer(t, order, model.value), "batch long, bucket int, corpus array<long>, costs array<float>, tokens long, kinds long"
+    )
+    answers = stored(asked, "lm-answers")
+    whole = batches.select("batch", "ids", "helds", "texts")
+    scored = whole.groupBy("batch").cogroup(answers.where("batch is not null").select("batch", "bucket", "corpus", "costs").groupBy("batch")).applyInArrow(
+        lambda d, a: _scores(d, a, buckets, order), f"_id {kind}, _held boolean, _words long, _known long, _sum double, score double"
     )
-    based = based.groupBy("_id", "_hash").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("_held", "_words", "_known", "_sum")])
 
     words, kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ends = fields.where(~F.col("_held")).count()
     tokens, kinds = words + ends, kinds + (ends > 0)
     norm = F.lit(float(np.log10(tokens + 0.5 * (kinds + 1))))
     end_log = F.lit(float(np.log10(ends + 0.5)))
-    joined = based.alias("b").join(scored.alias("s"), F.col("b._id").eqNullSafe(F.col("s._id")) & (F.col("b._hash") == F.col("s._hash")))
-    return (
-        joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-        .select(
-            F.col("b._id").alias(id_col),
-            F.col("_held").alias("held_out"),
-            (F.col("_words") + 1).alias("n_tokens"),
-            (F.col("_known") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
-            F.lit(tokens).cast("long").alias("train_tokens"),
-            (F.col("_sum") + end_log - (F.col("_words") + 1) * norm).alias("base_score"),
-            "score",
-        )
+    return scored.select(
+        F.col("_id").alias(id_col),
+        F.col("_held").alias("held_out"),
+        (F.col("_words") + 1).alias("n_tokens"),
+        (F.col("_known") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("_sum") + end_log - (F.col("_words") + 1) * norm).alias("base_score"),
+        "score",
     )
