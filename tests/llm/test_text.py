@@ -189,6 +189,17 @@ def test_search_raises_the_objective_and_keeps_items(seed):
             before = after
 
 
+def test_search_ends_at_a_local_optimum():
+    """Many alike bins that nothing helps do not end the search for the bins behind them."""
+    sizes = np.array([600] * 60 + [650, 60, 640, 70])
+    search = packing._Search([*[[i] for i in range(60)], [60, 61], [62, 63]], sizes, 1024)
+    assert len(search.bins) > search.least
+    bins = search.run()
+    assert sorted(i for b in bins for i in b) == list(range(64))
+    search.table()
+    assert not any(search.step(a) for a in list(search.bins) if search.fill[a] < 1024)
+
+
 # ---- language model
 
 

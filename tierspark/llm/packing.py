@@ -7,7 +7,6 @@ import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from heapq import nsmallest
 from itertools import chain
 
 import numpy as np
@@ -25,8 +24,6 @@ from .common import text_or_empty
 BLOCK_PIECES = 8192
 #: Encoded pieces of text that a worker keeps.
 CACHE_PIECES = 200_000
-#: The search tries to empty this many of the least filled bins at a time.
-SOURCES = 48
 
 
 @functools.cache
@@ -220,11 +217,11 @@ class _Search:
         self.set_rooms()
 
     def run(self) -> list[list[int]]:
-        """Until no exchange helps a source, or no fewer bins are possible."""
+        """Until a pass over all underfull bins, least filled first, makes no exchange, or no fewer bins are possible."""
         self.table()
         while len(self.bins) > self.least:
             moved, failed = False, set()
-            for a in nsmallest(SOURCES, self.bins, key=lambda b: self.fill[b]):
+            for a in sorted((b for b in self.bins if self.fill[b] < self.capacity), key=lambda b: self.fill[b]):
                 while a in self.bins and self.fill[a] < self.capacity and len(self.bins) > self.least:
                     alike = tuple(sorted(int(self.sizes[i]) for i in self.bins[a]))
                     if alike in failed or not self.step(a):
