@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -43,6 +44,21 @@ class Layer:
                 return depth
         raise KeyError(name)
 
+    def line_to(self, name: str) -> list[Layer]:
+        """The layers from this one down to the one named."""
+        if self.name == name:
+            return [self]
+        for child in self.children:
+            try:
+                return [self, *child.line_to(name)]
+            except KeyError:
+                continue
+        raise KeyError(name)
+
+    def subtree(self, name: str) -> list[Layer]:
+        """The layer named and all below it."""
+        return [x for _, x in self.line_to(name)[-1].walk()]
+
 
 def chain(*layers: Layer) -> Layer:
     """Layers from the root down, each the child of the one before."""
@@ -63,9 +79,28 @@ def duplicate_keys(layer: Layer) -> DataFrame:
 
 
 def orphans(child: Layer, parent: Layer) -> DataFrame:
-    """Rows of ``child`` without a parent row (null foreign keys included)."""
-    on = [child.df[a] == parent.df[b] for a, b in zip(child.fk, parent.pk, strict=True)]
-    return child.df.join(parent.df, on, "left_anti")
+    """Rows of ``child`` without a parent row (null foreign keys included). A layer may be its own parent."""
+    keys = parent.df.select(*[F.col(p).alias(f"__parent_{i}") for i, p in enumerate(parent.pk)])
+    return child.df.join(keys, [F.col(c) == F.col(f"__parent_{i}") for i, c in enumerate(child.fk)], "left_anti")
+
+
+def has_map(kind: T.DataType) -> bool:
+    """Whether a type holds a map, which has no order."""
+    if isinstance(kind, T.StructType):
+        return any(has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and has_map(kind.elementType)
+
+
+def in_order(entries: Column, keys: Sequence[str], payload: Sequence[str], kinds: Iterable[T.DataType]) -> Column:
+    """An array of structs (fields ``keys``, then ``payload``, of the types ``kinds``) ascending by its keys.
+
+    Where the payload can be compared it breaks ties; where it holds maps,
+    the keys alone are compared.
+    """
+    if not any(has_map(k) for k in kinds):
+        return F.array_sort(entries)
+    first = lambda x: F.struct(*[x[k].alias(k) for k in keys])
+    return F.array_sort(entries, lambda a, b: F.when(first(a) < first(b), -1).when(first(a) > first(b), 1).otherwise(0))
 
 
 def schema_keys(layer: Layer) -> dict[str, list[str]]:

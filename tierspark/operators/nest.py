@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .layers import Layer
+from .layers import Layer, in_order
 
 
 def nest(parent: DataFrame, pk: tuple[str, ...], child: DataFrame, fk: tuple[str, ...], child_pk: tuple[str, ...], name: str) -> DataFrame:
@@ -18,14 +18,12 @@ def nest(parent: DataFrame, pk: tuple[str, ...], child: DataFrame, fk: tuple[str
     in memory, for which flat layers stay available.
     """
     first = [c for c in child_pk if c not in fk]
-    rest = [c for c in child.columns if c not in first]
-    keyed = F.struct(*[F.col(c) for c in [*first, *rest]])
-    grouped = child.groupBy(*[F.col(c).alias(f"__{p}") for c, p in zip(fk, pk, strict=True)]).agg(F.array_sort(F.collect_list(keyed)).alias(name))
-    on = [parent[p] == grouped[f"__{p}"] for p in pk]
-    ordered = child.columns
-    empty = F.array().cast(T.ArrayType(child.select(*ordered).schema, False))
-    restored = F.transform(name, lambda x: F.struct(*[x[c].alias(c) for c in ordered]))
-    return parent.join(grouped, on, "left").select(*[parent[c] for c in parent.columns], F.coalesce(restored, empty).alias(name))
+    entry = F.struct(F.struct(*first).alias("k"), F.struct(*child.columns).alias("v")) if first else F.struct(F.lit(0).alias("k"), F.struct(*child.columns).alias("v"))
+    entries = in_order(F.collect_list(entry), ["k"], ["v"], [f.dataType for f in child.schema])
+    grouped = child.groupBy(*[F.col(c).alias(f"__{p}") for c, p in zip(fk, pk, strict=True)]).agg(entries["v"].alias(name))
+    on = [F.col(p) == F.col(f"__{p}") for p in pk]
+    empty = F.array().cast(T.ArrayType(child.schema, False))
+    return parent.join(grouped, on, "left").select(*parent.columns, F.coalesce(name, empty).alias(name))
 
 
 def nest_all(root: Layer) -> DataFrame:
@@ -36,6 +34,23 @@ def nest_all(root: Layer) -> DataFrame:
     return out
 
 
+def descendant_counts(root: Layer, inner: tuple[str, ...] = ()) -> DataFrame:
+    """The root's key and, for each layer below, how many rows of it hang under the key: ``n_<layer>``.
+
+    Counts travel up by foreign key, folded before each shuffle, and no
+    child row is collected; orphans do not count.
+    """
+    out = root.df.select(*root.pk, *inner)
+    for child in root.children:
+        below = descendant_counts(child, tuple(c for c in child.fk if c not in child.pk))
+        sums = [c for c in below.columns if c.startswith("n_")]
+        made = below.groupBy(*[F.col(c).alias(f"__{p}") for c, p in zip(child.fk, root.pk, strict=True)]).agg(F.count("*").alias(f"n_{child.name}"), *[F.sum(c).alias(c) for c in sums])
+        names = [f"n_{child.name}", *sums]
+        met = out.join(made, [F.col(p) == F.col(f"__{p}") for p in root.pk], "left")
+        out = met.select(*out.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
+    return out
+
+
 def arrays(schema: T.StructType) -> list[str]:
     """The fields of a record that are arrays of records."""
     return [f.name for f in schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
