@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 from tierspark.operators import access, bloom, layers, nest, runs
 from tierspark.operators.layers import Layer, chain
 from tierspark.plans import predicate
-from tierspark.plans.layer_filter import filter_layers
+from tierspark.plans.layer_filter import filter_layers, filtered
 from tierspark.plans.nested_filter import flat_filter, narrow_schema, nested_filter
 from tierspark.plans.predicate import Pred, Udf, by_layer, less_than
-from tierspark.sources import readers, writers
+from tierspark.sources import changelog, load, readers, writers
 
 
 def family(spark):
@@ -187,3 +187,73 @@ def test_filtering_before_nesting_is_the_same(spark):
         a = nested_filter(nest.nest_all(root), preds).collect()
         b = nest.nest_all(filter_layers(root, preds)).collect()
         assert sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_over_stored_flat_layers_reach_the_scans(spark, tmp_path):
+    parent, child = family(spark)
+    root = load.load_layers(chain(parent, child), str(tmp_path / "l"))
+    preds = [less_than((), "p", 3), less_than(("childArr",), "v", 6)]
+    got = filtered(root, preds, ["name", "childArr.v"])
+    shown = plan(got)
+    assert "LessThan(p,3)" in shown and "LessThan(v,6)" in shown
+    assert [(r.p, [c.v for c in r.childArr]) for r in got.collect()] == [(1, [5])]
+    n = load.load_nested(root, str(tmp_path / "n"))
+    assert "Exchange" not in plan(filtered(n, preds)) and filtered(n, preds).first().p == 1
+    odd = filter_layers(root, [Udf(("childArr",), "v", lambda v: v == 5)])
+    assert [r.p for r in nest.nest_all(odd).collect()] == [1]
+
+
+def test_the_gate_keeps_few_rows_and_all_matches(spark):
+    probe, keys = spark.range(20000).withColumnRenamed("id", "k"), spark.range(0, 20000, 100).withColumnRenamed("id", "k")
+    gate = bloom.Bloom(keys, "k", 200)
+    passed = probe.where(gate.gate("k"))
+    assert 200 <= passed.count() < 200 + 0.03 * 20000
+    joined = bloom.gated_semi_join(probe, keys, "k", 200)
+    assert sorted(r.k for r in joined.collect()) == list(range(0, 20000, 100))
+    assert "Subquery" in plan(joined)
+    assert sorted(r.k for r in bloom.gated_semi_join(probe, keys, "k", 5).collect()) == list(range(0, 20000, 100))
+    assert bloom.gated_semi_join(probe, keys.limit(0), "k", 5).count() == 0
+    with pytest.raises(ValueError):
+        bloom.Bloom(keys, "k", 10**9)
+
+
+def test_sorted_tables_know_places(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") * 2).alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    writers.write_sorted(df, str(tmp_path / "t"), ["k"], bloom=["k"])
+    t = access.SortedTable(spark, str(tmp_path / "t"), "k")
+    assert [(r.k, r.row_no) for r in t.rows(498, 3).orderBy("k").collect()] == [(996, 498), (998, 499), (1000, 500)]
+    assert t.rows(2000, 5).count() == 0
+    assert [(r.k, r.row_no) for r in t.offsets(700).collect()] == [(700, 350)] and t.offsets(701).count() == 0
+    assert t.search(701).count() == 0 and "EqualTo(k,700)" in plan(t.search(700))
+    assert [r.k for r in t.between(10, 16, descending=True).collect()] == [14, 12, 10]
+    assert t.seek(1990).count() == 5
+
+
+def test_checksums_are_verified(spark, tmp_path):
+    writers.write(spark.range(5000).coalesce(1), str(tmp_path / "c"), codec="none")
+    file = next(p for p in (tmp_path / "c").iterdir() if p.name.startswith("part"))
+    for crc in (tmp_path / "c").glob(".*.crc"):
+        crc.unlink()
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    file.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="(?i)corrupt|checksum"):
+        readers.columnar(spark, str(tmp_path / "c"), verify=True).agg(F.sum("id")).collect()
+
+
+def test_logs_with_unknown_operations_are_refused(spark, tmp_path):
+    layer = Layer("p", spark.createDataFrame([(1, 1)], "p long, v int"), ("p",))
+    with pytest.raises(Exception, match="no such operation"):
+        changelog.write_log(spark.createDataFrame([("merge", 1, 1)], "op string, seq long, p long"), str(tmp_path / "l"), layer)
+
+
+def test_descendants_are_counted_without_orphans(spark):
+    parent, child = family(spark)
+    grand = Layer("toy", spark.createDataFrame([(100, 10), (101, 10), (102, 11), (103, 13), (104, None)], "t int, k_id int"), ("t",), ("k_id",))
+    got = nest.descendant_counts(chain(parent, child, grand))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 3), (2, 0, 0), (3, 1, 0)]
+    assert got.columns == ["p", "n_child", "n_toy"]

@@ -5,6 +5,7 @@ import decimal
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,3 +102,53 @@ def test_induce():
     for bad in ([], {}, [1, "x"], object()):
         with pytest.raises((ValueError, TypeError)):
             records.induce(bad)
+
+
+def test_nested_records_resolve_by_name(spark):
+    df = spark.createDataFrame([(1, Row(a=1, b=2), [Row(x=1, y="u")], {"k": Row(a=5, b=6)}), (2, None, None, None)], "id int, s struct<a:int,b:int>, r array<struct<x:int,y:string>>, m map<string,struct<a:int,b:int>>")
+    inner = schemas.record("i", [schemas.field("b", "long"), schemas.field("c", ["null", "string"]), schemas.field("a", "double")])
+    reader = schemas.parse(schemas.record("r", [
+        schemas.field("m", ["null", schemas.mapping(inner)]), schemas.field("s", ["null", inner]),
+        schemas.field("r", ["null", schemas.array(schemas.record("e", [schemas.field("z", "bytes", aliases=["y"]), schemas.field("w", schemas.array("int"), default=[7, 8]), schemas.field("x", "float")]))]),
+        schemas.field("id", "long"), schemas.field("d", inner, default={"b": 1, "a": 2})]))
+    one, two = records.resolve(df, reader).orderBy("id").collect()
+    assert one.s == Row(b=2, c=None, a=1.0) and one.m == {"k": Row(b=6, c=None, a=5.0)} and one.r == [Row(z=bytearray(b"u"), w=[7, 8], x=1.0)]
+    assert one.d == Row(b=1, c=None, a=2.0) and (two.s, two.r, two.m) == (None, None, None)
+    with pytest.raises(ValueError, match="s.new"):
+        records.resolve(df, schemas.parse(schemas.record("r", [schemas.field("s", schemas.record("i", [schemas.field("new", "int")]))])))
+    with pytest.raises(TypeError, match="r\\[\\].x"):
+        records.resolve(df, schemas.parse(schemas.record("r", [schemas.field("r", schemas.array(schemas.record("i", [schemas.field("x", "string")])))])))
+
+
+def test_unions_resolve_branch_by_branch(spark):
+    u = lambda *kinds: schemas.parse(schemas.record("r", [schemas.field("u", schemas.union(*kinds))]))
+    plain = spark.createDataFrame([(1,), (None,)], "u int")
+    assert [r.u for r in records.resolve(plain, u("string", "long")).collect()] == [Row(member0=None, member1=1), None]
+    wrote = spark.createDataFrame([(Row(member0=1, member1=None),), (Row(member0=None, member1="x"),), (None,)], "u struct<member0:int,member1:string>").select(F.col("u").alias("u", metadata={"union": ["int", "string"]}))
+    assert [r.u for r in records.resolve(wrote, u("double", "bytes")).collect()] == [Row(member0=1.0, member1=None), Row(member0=None, member1=bytearray(b"x")), None]
+    assert [r.u for r in records.resolve(wrote.where("u.member1 is null"), schemas.parse(schemas.record("r", [schemas.field("u", ["null", "long"])]))).collect()] == [1, None]
+    with pytest.raises(Exception, match="cannot become"):
+        records.resolve(wrote, schemas.parse(schemas.record("r", [schemas.field("u", ["null", "long"])]))).collect()
+    with pytest.raises(Exception, match="no branch"):
+        records.resolve(wrote, u("double", "boolean")).collect()
+
+
+def test_builders_conversions_and_times(spark):
+    spec = schemas.record("r", [schemas.field("e", schemas.enum("s", "b", "a"), order="descending"), schemas.field("f", schemas.fixed("h", 2)), schemas.field("g", schemas.record("p", [schemas.field("m", schemas.mapping("int"))], group=True))])
+    kind = schemas.parse(spec)
+    assert schemas.parse(schemas.to_json(kind)) == kind
+    with pytest.raises(ValueError):
+        schemas.union(*["int"] * 33)
+    if "test-days" not in schemas.CONVERSIONS:
+        schemas.register(schemas.Conversion("test-days", T.IntegerType(), lambda c: F.date_add(F.lit("1970-01-01").cast("date"), c), lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))))
+    days = schemas.parse(schemas.record("r", [schemas.field("d", schemas.logical("int", "test-days"))]))
+    assert "test-days" in schemas.to_json(days)
+    stored = schemas.converted(spark.sql("SELECT DATE'1970-01-03' AS d"), days, write=True)
+    assert stored.first().d == 2 and str(schemas.converted(stored, days).first().d) == "1970-01-03"
+    with pytest.raises(ValueError):
+        schemas.register(schemas.Conversion("date", T.IntegerType()))
+    times = schemas.parse(schemas.record("r", [schemas.field("ms", schemas.logical("int", "time-millis")), schemas.field("us", schemas.logical("long", "time-micros"))]))
+    if hasattr(T, "TimeType"):
+        spark.conf.set("spark.sql.timeType.enabled", "true")  # off by default in this version
+        got = spark.sql("SELECT '12:34:56.789123' AS t").select(*[F.col("t").cast(f.dataType).cast("string").alias(f.name) for f in times]).first()
+        assert (got.ms, got.us) == ("12:34:56.789", "12:34:56.789123")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Primitive and logical type names of the JSON dialect, and the Spark types for them.
@@ -12,7 +14,76 @@ PRIMITIVE = {"null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerT
 LOGICAL = {"date": T.DateType(), "timestamp-millis": T.TimestampType(), "timestamp-micros": T.TimestampType(), "uuid": T.StringType()}
 
 
+class Conversion:
+    """How a logical type that users define is stored and read.
+
+    ``spark`` is the stored type; ``read`` and ``write`` turn a stored value
+    into a logical one and back, as expressions on columns.
+    """
+
+    def __init__(self, name: str, spark: T.DataType, read: Callable[[Column], Column] = lambda c: c, write: Callable[[Column], Column] = lambda c: c):
+        self.name, self.spark, self.read, self.write = name, spark, read, write
+
+
+#: Conversions that users have registered, by the name of the logical type.
+CONVERSIONS: dict[str, Conversion] = {}
+
+
+def register(conversion: Conversion) -> None:
+    """Schemas that are parsed from now on know the logical type."""
+    if conversion.name in LOGICAL or conversion.name in ("decimal", "time-millis", "time-micros"):
+        raise ValueError(f"{conversion.name} is built in")
+    CONVERSIONS[conversion.name] = conversion
+
+
+def converted(df: DataFrame, schema: T.StructType, write: bool = False) -> DataFrame:
+    """Columns of registered logical types as logical values, or (``write``) as stored ones; others as they are."""
+    out = []
+    for f in schema:
+        how = CONVERSIONS.get(f.metadata.get("logicalType"))
+        col = F.col(f"`{f.name}`")
+        out.append(col if how is None else (how.write if write else how.read)(col).alias(f.name))
+    return df.select(*out)
+
+
+def record(name: str, fields: Sequence[Mapping], group: bool = False) -> dict:
+    """Builders: the parts of a schema, to be put together and parsed."""
+    return {"type": "group" if group else "record", "name": name, "fields": list(fields)}
+
+
+def field(name: str, kind: object, **more: object) -> dict:
+    """A field; ``more`` are default, aliases and order."""
+    return {"name": name, "type": kind, **more}
+
+
+def enum(name: str, *symbols: str) -> dict:
+    return {"type": "enum", "name": name, "symbols": list(symbols)}
+
+
+def array(items: object) -> dict:
+    return {"type": "array", "items": items}
+
+
+def mapping(values: object) -> dict:
+    return {"type": "map", "values": values}
+
+
+def fixed(name: str, size: int) -> dict:
+    return {"type": "fixed", "name": name, "size": size}
+
+
+def union(*branches: object) -> list:
+    if len(branches) > 32:
+        raise ValueError("more than 32 branches")
+    return list(branches)
+
+
+def logical(kind: str, name: str, **more: object) -> dict:
+    return {"type": kind, "logicalType": name, **more}
+
+
 def _time(precision: int) -> T.DataType:
+    """Times of day; sessions have to set ``spark.sql.timeType.enabled`` where that is off."""
     return T.TimeType(precision) if hasattr(T, "TimeType") else T.LongType()
 
 
@@ -60,6 +131,8 @@ def _type(spec: object, named: dict[str, object], inside: tuple[str, ...]) -> tu
         return T.DecimalType(precision, scale), False, {}
     if logical in ("time-millis", "time-micros"):
         return _time(3 if logical == "time-millis" else 6), False, {"logicalType": logical}
+    if logical in CONVERSIONS:
+        return CONVERSIONS[logical].spark, False, {"logicalType": logical, "stored": what}
     if logical in LOGICAL:
         return LOGICAL[logical], False, {"logicalType": logical}
     if what in ("record", "group", "error"):
@@ -116,6 +189,8 @@ def _spec(kind: T.DataType, meta: Mapping, name: str) -> object:
         return {"type": "bytes", "logicalType": "decimal", "precision": kind.precision, "scale": kind.scale}
     if isinstance(kind, T.DateType):
         return {"type": "int", "logicalType": "date"}
+    if "stored" in meta:
+        return {"type": meta["stored"], "logicalType": meta["logicalType"]}
     if "logicalType" in meta:
         return {"type": "int" if meta["logicalType"] == "time-millis" else "string" if meta["logicalType"] == "uuid" else "long", "logicalType": meta["logicalType"]}
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

@@ -25,9 +25,35 @@ def concat_runs(runs: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, runs)
 
 
-def merge_runs(runs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """K-way merge: one ordered table from sorted runs."""
-    return concat_runs(runs).orderBy(*keys)
+def merge_runs(runs: Sequence[DataFrame], keys: Sequence[str], run: str | None = None) -> DataFrame:
+    """K-way merge: one ordered table from sorted runs; ``run`` names a column for the number of a row's run."""
+    if run is not None:
+        runs = [r.withColumn(run, F.lit(i)) for i, r in enumerate(runs)]
+    return concat_runs(runs).orderBy(*keys, *([run] if run else []))
+
+
+def placed(run: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A run with ``place``, each row's ordinal in it."""
+    from .access import numbered
+
+    return numbered(run, list(keys)).withColumnRenamed("row_no", "place")
+
+
+def run_order(runs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """``row_no, run, place``: from which run, and which place in it, each row of the merge comes.
+
+    ``runs`` have ``place``. Equal keys come in the order of the runs.
+    """
+    from .access import numbered
+
+    every = concat_runs([r.select(*keys, "place").withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
+    return numbered(every, [*keys, "run", "place"]).select("row_no", "run", "place")
+
+
+def replay(order: DataFrame, runs: Sequence[DataFrame]) -> DataFrame:
+    """Any columns of the runs (with ``place``), with ``row_no`` by a recorded order."""
+    every = concat_runs([r.withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
+    return every.join(order, ["run", "place"]).drop("run", "place")
 
 
 def record_order(df: DataFrame, order: Mapping[str, str] | None = None) -> list[Column]:

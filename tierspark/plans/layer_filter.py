@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.layers import Layer
-from .predicate import Pred, Root
+from ..operators.nest import nest_all
+from .nested_filter import _mask, nested_filter
+from .predicate import Pred, Root, Udf
 
 
-def filter_layers(layer: Layer, preds: Sequence[Pred], path: tuple[str, ...] = ()) -> Layer:
+def filter_layers(layer: Layer, preds: Sequence[Pred | Udf], path: tuple[str, ...] = ()) -> Layer:
     """The layers reduced to survivors, so that ``nest_all`` gives what ``nested_filter`` gives after nesting.
 
-    Predicates reach the scans of their layers. A parent of a layer that
+    Predicates reach the scans of their layers, if the layers' tables are
+    plain scans (a key numbered on the fly keeps them above it). A parent of a layer that
     bears predicates, itself or below, is semi-joined with its surviving
     children; children of parents that went drop out of the nest join. For
     tables that are not stored nested, this moves far less data than nesting
@@ -23,7 +27,7 @@ def filter_layers(layer: Layer, preds: Sequence[Pred], path: tuple[str, ...] = (
     df, children = layer.df, []
     for p in preds:
         if p.path == path:
-            df = df.where(p.on(Root()))
+            df = df.where(F.pandas_udf(_mask(0, p.func), "boolean")(p.field) if isinstance(p, Udf) else p.on(Root()))
     for child in layer.children:
         below = (*path, child.array)
         kept = filter_layers(child, preds, below)
@@ -47,3 +51,16 @@ def prune_layers(layer: Layer, project: Sequence[str], preds: Sequence[Pred] = (
     used = [c for c in layer.df.columns if c in wanted or c in layer.pk or c in layer.fk]
     children = [prune_layers(c, project, preds, (*path, c.array)) for c in layer.children]
     return replace(layer, df=layer.df.select(*used), children=children)
+
+
+def filtered(source: Layer | DataFrame, preds: Sequence[Pred | Udf], project: Sequence[str] | None = None) -> DataFrame:
+    """Surviving nested records, by the plan that the shape of the source asks for.
+
+    Flat layers are pruned and filtered before they are nested, so that
+    predicates reach each table's scan; a table that is stored nested is
+    filtered in place, without a shuffle.
+    """
+    if isinstance(source, DataFrame):
+        return nested_filter(source, preds, project)
+    pruned = source if project is None else prune_layers(source, project, preds)
+    return nest_all(filter_layers(pruned, preds))

@@ -15,12 +15,13 @@ from pyspark.sql import types as T
 from .functions import records, schemas
 from .operators import access, bloom, layers, mutate, nest, runs
 from .operators.layers import Layer, chain
-from .plans.layer_filter import filter_layers, prune_layers
+from .plans import predicate
+from .plans.layer_filter import filtered, prune_layers
 from .plans.nested_filter import flat_filter, narrow_schema, nested_filter, survivor_counts
 from .plans.predicate import Pred, Udf, half_open, less_than
-from .sources import readers, writers
-from .streaming import storage
+from .sources import changelog, load, readers, writers
 from .streaming.changes import StreamedLayer
+from .streaming.storage import new_path
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 _ORDER = ", ".join(LINE[1:])
@@ -65,6 +66,32 @@ def nested(spark: SparkSession, sf: str, depth: int = 3, project: list[str] | No
     return nest.nest_all(root if project is None else prune_layers(root, project, preds))
 
 
+_LOADED: dict[tuple[str, str, str], str] = {}
+
+
+def _loaded(spark: SparkSession, sf: str, what: str, write: Callable[[str], object]) -> str:
+    """The folder of a load, which is done once in a session for each data folder."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _LOADED:
+        path = new_path(spark, what)
+        write(path)
+        _LOADED[key] = path
+    return _LOADED[key]
+
+
+def loaded(spark: SparkSession, sf: str, depth: int = 3) -> Layer:
+    """The layers as they are stored by a load: sorted by key, lineitem with its number within the order."""
+    path = _loaded(spark, sf, "layers", lambda p: load.load_layers(tree(spark, sf), p))
+    all_ = [x for _, x in tree(spark, sf).walk()][:depth]
+    return chain(*[Layer(x.name, spark.read.parquet(f"{path}/{x.name}"), x.pk, x.fk) for x in all_])
+
+
+def loaded_nested(spark: SparkSession, sf: str, project: list[str], preds: list[Pred | Udf] = ()) -> DataFrame:
+    """The three layers as they are stored nested by a load; only the leaves that are needed are read."""
+    path = _loaded(spark, sf, "nested", lambda p: load.load_nested(loaded(spark, sf), p))
+    return readers.columnar(spark, path, narrow_schema(spark.read.parquet(path).schema, preds, project))
+
+
 BUILDING = Pred((), lambda r: r["c_mktsegment"] == "BUILDING")
 DEAR = Pred(ORDERS, lambda r: r["o_totalprice"] > 100000)
 IN_1996 = half_open(LINES, "l_shipdate", "1996-01-01", "1997-01-01")
@@ -75,19 +102,28 @@ IN_1996 = half_open(LINES, "l_shipdate", "1996-01-01", "1997-01-01")
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def nest2_counts(spark, sf):
-    return nested(spark, sf, 2, []).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
+    return nest.descendant_counts(tree(spark, sf, 2))
 
 
 @query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_lines
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
 def nest3_counts(spark, sf):
+    lines_ = Layer("lines", table(spark, sf, "lineitem"), ("l_orderkey", "l_linenumber"), ("l_orderkey",))
+    return nest.descendant_counts(chain(*[x for _, x in tree(spark, sf, 2).walk()], lines_))
+
+
+@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_lines
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
+def nested_sizes(spark, sf):
+    """The same from array lengths of the stored nested table."""
+    n = loaded_nested(spark, sf, ["c_custkey", "ordersArr.o_orderkey", "ordersArr.lineitemArr.l_seq"])
     n_lines = F.aggregate("ordersArr", F.lit(0).cast("long"), lambda acc, o: acc + F.size(o["lineitemArr"]))
-    return nested(spark, sf, 3, []).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"), n_lines.alias("n_lines"))
+    return n.select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"), n_lines.alias("n_lines"))
 
 
 @query("SELECT * FROM {LINES} l")
 def nest_unnest_roundtrip(spark, sf):
-    return nest.unnest(nested(spark, sf), *LINES)
+    return nest.unnest(nest.nest_all(loaded(spark, sf)), *LINES).select(*LINE, "l_seq")
 
 
 @query("SELECT o_orderkey, l_seq, l_partkey FROM orders LEFT JOIN {LINES} l ON l_orderkey = o_orderkey")
@@ -121,7 +157,7 @@ def nest_conversations(spark, sf):
 
 @query("""SELECT 'root' AS layer, count(*) AS n FROM customer UNION ALL SELECT 'ordersArr', count(*) FROM orders UNION ALL SELECT 'ordersArr/lineitemArr', count(*) FROM lineitem""")
 def layer_counts(spark, sf):
-    return nest.layer_counts(nested(spark, sf, 3, []))
+    return nest.layer_counts(loaded_nested(spark, sf, ["c_custkey", "ordersArr.o_orderkey", "ordersArr.lineitemArr.l_seq"]))
 
 
 @query("SELECT count(*) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
@@ -141,7 +177,7 @@ def duplicate_keys(spark, sf):
 @query("SELECT c_custkey, o_orderkey, l_partkey, l_seq FROM customer JOIN orders ON o_custkey = c_custkey JOIN {LINES} l ON l_orderkey = o_orderkey")
 def project_nested(spark, sf):
     project = ["c_custkey", "ordersArr.o_orderkey", "ordersArr.lineitemArr.l_partkey", "ordersArr.lineitemArr.l_seq"]
-    n = nested_filter(nested(spark, sf, 3, project), project=project)
+    n = nested_filter(loaded_nested(spark, sf, project), project=project)
     return nest.unnest(n, *LINES, keep=["c_custkey", "o_orderkey"])
 
 
@@ -152,18 +188,30 @@ def project_inner_root(spark, sf):
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_custkey")
 def filter_root(spark, sf):
-    return nested_filter(nested(spark, sf, 2, [], [BUILDING]), [BUILDING]).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
+    project = ["c_custkey", "ordersArr.o_orderkey"]
+    return filtered(loaded_nested(spark, sf, project, [BUILDING]), [BUILDING], project).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
 
 
 @query("SELECT c_custkey, count(*) AS n_orders FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY c_custkey")
 def filter_mid(spark, sf):
-    return nested_filter(nested(spark, sf, 2, [], [DEAR]), [DEAR]).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
+    project = ["c_custkey", "ordersArr.o_orderkey"]
+    return filtered(loaded_nested(spark, sf, project, [DEAR]), [DEAR], project).select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"))
+
+
+_LEAF = """SELECT c_custkey, o_orderkey, l_seq FROM customer JOIN orders ON o_custkey = c_custkey JOIN {LINES} l ON l_orderkey = o_orderkey
+WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'"""
+_KEYS = ["c_custkey", "ordersArr.o_orderkey", "ordersArr.lineitemArr.l_seq"]
 
 
-@query("""SELECT c_custkey, o_orderkey, l_seq FROM customer JOIN orders ON o_custkey = c_custkey JOIN {LINES} l ON l_orderkey = o_orderkey
-WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'""")
+@query(_LEAF)
 def filter_leaf(spark, sf):
-    return nest.unnest(nested_filter(nested(spark, sf, 3, [], [IN_1996]), [IN_1996]), *LINES, keep=["c_custkey", "o_orderkey"]).select("c_custkey", "o_orderkey", "l_seq")
+    return nest.unnest(filtered(loaded_nested(spark, sf, _KEYS, [IN_1996]), [IN_1996], _KEYS), *LINES, keep=["c_custkey", "o_orderkey"])
+
+
+@query(_LEAF)
+def filter_leaf_before_nesting(spark, sf):
+    """The same from flat layers: the predicate is pushed to the scan of the lines."""
+    return nest.unnest(filtered(loaded(spark, sf), [IN_1996], _KEYS), *LINES, keep=["c_custkey", "o_orderkey"]).select("c_custkey", "o_orderkey", "l_seq")
 
 
 _THREE = """SELECT c_custkey, o_orderkey, l_seq, l_partkey, l_extendedprice, l_shipdate FROM customer JOIN orders ON o_custkey = c_custkey
@@ -173,29 +221,34 @@ _THREE_PATHS = [f"ordersArr.lineitemArr.{c}" for c in ("l_partkey", "l_extendedp
 _THREE_COLUMNS = ["c_custkey", "o_orderkey", "l_seq", "l_partkey", "l_extendedprice", "l_shipdate"]
 
 
+_THREE_PROJECT = [*_KEYS, *_THREE_PATHS]
+
+
 @query(_THREE)
 def filter_three_layers(spark, sf):
-    """Nested shape, unnested for the comparison."""
-    n = nested_filter(nested(spark, sf, 3, _THREE_PATHS, [BUILDING, DEAR, IN_1996]), [IN_1996, BUILDING, DEAR])
+    """Stored nested, filtered in place, unnested for the comparison."""
+    preds = [IN_1996, BUILDING, DEAR]
+    n = filtered(loaded_nested(spark, sf, _THREE_PROJECT, preds), preds, _THREE_PROJECT)
     return nest.unnest(n, *LINES, keep=["c_custkey", "o_orderkey"]).select(*_THREE_COLUMNS)
 
 
 @query(_THREE)
 def filter_three_layers_flat(spark, sf):
-    return flat_filter(nested(spark, sf, 3, _THREE_PATHS, [BUILDING, DEAR, IN_1996]), [BUILDING, DEAR, IN_1996], LINES, _THREE_COLUMNS)
+    preds = [BUILDING, DEAR, IN_1996]
+    return flat_filter(loaded_nested(spark, sf, _THREE_PROJECT, preds), preds, LINES, _THREE_COLUMNS)
 
 
 @query(_THREE)
 def filter_three_layers_before_nesting(spark, sf):
-    preds = [BUILDING, DEAR, IN_1996]
-    n = nest.nest_all(filter_layers(prune_layers(tree(spark, sf), _THREE_PATHS, preds), preds))
+    """The same from flat layers: each predicate is pushed to its table's scan, and what is left is nested."""
+    n = filtered(loaded(spark, sf), [BUILDING, DEAR, IN_1996], _THREE_PATHS)
     return nest.unnest(n, *LINES, keep=["c_custkey", "o_orderkey"]).select(*_THREE_COLUMNS)
 
 
 @query("""SELECT c_custkey, o_orderkey, l_seq FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN {LINES} l ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING'""")
 def filter_root_keeps_empty(spark, sf):
-    return flat_filter(nested(spark, sf, 3, [], [BUILDING]), [BUILDING], LINES, ["c_custkey", "o_orderkey", "l_seq"], outer=True)
+    return flat_filter(loaded_nested(spark, sf, _KEYS, [BUILDING]), [BUILDING], LINES, ["c_custkey", "o_orderkey", "l_seq"], outer=True)
 
 
 @query("""WITH c AS (SELECT * FROM customer WHERE c_acctbal > 5000), s AS (SELECT * FROM supplier WHERE s_acctbal > 0)
@@ -235,31 +288,24 @@ WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 100000 AND l_shipdate >= TIME
 SELECT 'root' AS layer, count(DISTINCT c_custkey) AS n FROM f UNION ALL SELECT 'ordersArr', count(DISTINCT o_orderkey) FROM f
 UNION ALL SELECT 'ordersArr/lineitemArr', count(*) FROM f""")
 def survivor_count(spark, sf):
-    return survivor_counts(nested(spark, sf, 3, [], [BUILDING, DEAR, IN_1996]), [BUILDING, DEAR, IN_1996], [(), ORDERS, LINES])
+    preds = [BUILDING, DEAR, IN_1996]
+    return survivor_counts(loaded_nested(spark, sf, _KEYS, preds), preds, [(), ORDERS, LINES])
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000")
 def narrow_scan(spark, sf):
     """A stored nested table, read with only the leaves that are needed."""
-    path = f"{storage_dir(spark)}/nested"
+    path = new_path(spark, "narrow")
     writers.write_sorted(nested(spark, sf, 2), path, ["c_custkey"], bloom=["c_custkey"])
     project = ["c_custkey", "ordersArr.o_orderkey"]
     n = readers.columnar(spark, path, narrow_schema(readers.columnar(spark, path).schema, [DEAR], project))
     return nest.unnest(nested_filter(n, [DEAR], project), "ordersArr", keep=["c_custkey"])
 
 
-def storage_dir(spark: SparkSession) -> str:
-    """A new folder under the shared one."""
-    import uuid
-
-    storage.stored(spark.range(0))
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/q-{uuid.uuid4().hex}"
-
-
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def delimited_scan(spark, sf):
     """Pipe-separated text with a trailing separator, written and read."""
-    path, nation = storage_dir(spark), table(spark, sf, "nation")
+    path, nation = new_path(spark), table(spark, sf, "nation")
     nation.select(F.concat(F.concat_ws("|", *[F.col(c).cast("string") for c in nation.columns]), F.lit("|")).alias("value")).write.text(path)
     return readers.delimited(spark, path, T.StructType([*nation.schema.fields, T.StructField("end", T.StringType())])).select(*nation.columns)
 
@@ -267,9 +313,14 @@ def delimited_scan(spark, sf):
 # ---- point and positional access
 
 
+def orders_file(spark: SparkSession, sf: str) -> access.SortedTable:
+    loaded(spark, sf)
+    return access.SortedTable(spark, f"{_LOADED[spark.sparkContext.applicationId, sf, 'layers']}/orders", "o_orderkey")
+
+
 @query("SELECT * FROM orders WHERE o_orderkey = 77")
 def point_search(spark, sf):
-    return access.point_search(table(spark, sf, "orders"), ("o_orderkey",), 77)
+    return orders_file(spark, sf).search(77)
 
 
 @query("SELECT k AS o_orderkey, k IN (SELECT o_orderkey FROM orders) AS \"exists\" FROM (SELECT unnest([0, 5, 77, -3, 99999999]) AS k)")
@@ -292,12 +343,83 @@ def child_keys(spark, sf):
 
 @query("SELECT * FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row_no FROM customer) WHERE row_no = 42")
 def row_at(spark, sf):
-    return access.row_at(table(spark, sf, "customer"), ["c_custkey"], 42)
+    loaded(spark, sf)
+    return access.SortedTable(spark, f"{_LOADED[spark.sparkContext.applicationId, sf, 'layers']}/customer", "c_custkey").rows(42, 1)
 
 
 @query("SELECT * FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no FROM orders) WHERE row_no >= 100 AND row_no < 150")
 def row_range(spark, sf):
-    return access.row_range(table(spark, sf, "orders"), ["o_orderkey"], 100, 50)
+    return orders_file(spark, sf).rows(100, 50)
+
+
+@query("SELECT * FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_no FROM orders) WHERE row_no >= 100 AND row_no < 150")
+def row_range_unsorted(spark, sf):
+    """By an order in which the table is not stored: only the partitions that hold the rows are sorted."""
+    return access.row_range(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], 100, 50)
+
+
+@query("SELECT * FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no FROM orders) WHERE o_orderkey = 77")
+def offset_of_key(spark, sf):
+    return orders_file(spark, sf).offsets(77)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 900")
+def seek_value(spark, sf):
+    return orders_file(spark, sf).seek(900).select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT l_orderkey, n, first_part, row_number() OVER (ORDER BY l_orderkey DESC) - 1 AS place FROM (
+SELECT l_orderkey, count(*) AS n, min(l_partkey) AS first_part FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 200 GROUP BY l_orderkey)""")
+def range_descending(spark, sf):
+    """A range of keys from the last to the first, equal keys together."""
+    loaded(spark, sf)
+    lines_ = access.SortedTable(spark, f"{_LOADED[spark.sparkContext.applicationId, sf, 'layers']}/lineitem", "l_orderkey")
+    found = lines_.between(100, 200, descending=True, together=["l_partkey", "l_seq"])
+    found = found.select("l_orderkey", F.size("l_partkey").cast("long").alias("n"), F.array_min("l_partkey").alias("first_part"))
+    return access.numbered(found, [F.col("l_orderkey").desc()]).withColumnRenamed("row_no", "place")
+
+
+@query("SELECT l_orderkey, l_seq FROM {LINES} l")
+def raw_keys(spark, sf):
+    layer = loaded(spark, sf).line_to("lineitem")[-1]
+    return access.raw_keys(layer.df, layer.pk)
+
+
+@query("SELECT o_orderkey, o_custkey AS back, count(l_orderkey) AS n_forward FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def layer_index(spark, sf):
+    index = access.layer_index(loaded(spark, sf), "orders")
+    return index.select("o_orderkey", F.col("back.c_custkey").alias("back"), F.size("forward.lineitem").cast("long").alias("n_forward"))
+
+
+@query("SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_custkey, o_orderkey + 10000000 FROM orders WHERE o_orderkey % 7 = 0")
+def merge_forward_keys(spark, sf):
+    """An index's child keys with pending toggles: keys that left, and keys that came."""
+    orders = table(spark, sf, "orders")
+    index = orders.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("keys"))
+    toggled = orders.where("o_orderkey % 5 = 0").select("o_custkey", "o_orderkey").union(orders.where("o_orderkey % 7 = 0").select("o_custkey", F.col("o_orderkey") + 10000000))
+    pending = toggled.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("toggles"))
+    met = index.join(pending, "o_custkey", "left").withColumn("toggles", F.coalesce("toggles", F.array().cast("array<bigint>")))
+    return met.select(F.col("o_custkey").alias("c_custkey"), F.explode(access.merge_forward(F.col("keys"), F.col("toggles"))).alias("o_orderkey"))
+
+
+@query("SELECT o_custkey AS c_custkey, o_orderkey, l_seq, row_number() OVER (ORDER BY o_custkey, o_orderkey, l_seq) - 1 AS row_no FROM orders JOIN {LINES} l ON l_orderkey = o_orderkey")
+def nested_path_order(spark, sf):
+    """Lines in the order of the whole path of keys, customer, order and line."""
+    root = loaded(spark, sf)
+    flat = nest.unnest(loaded_nested(spark, sf, _KEYS), *LINES, keep=["c_custkey", "o_orderkey"])
+    return access.numbered(flat, access.path_key(root.line_to("lineitem"), {"l_orderkey": "o_orderkey"}))
+
+
+@query("SELECT 0 AS level, 'customer' AS layer, count(*) AS n FROM customer UNION ALL SELECT 1, 'orders', count(*) FROM orders UNION ALL SELECT 2, 'lineitem', count(*) FROM lineitem")
+def layer_of_record(spark, sf):
+    root = loaded(spark, sf)
+    out = [x.df.agg(F.lit(root.level(x.name)).alias("level"), F.lit(x.name).alias("layer"), F.count("*").alias("n")) for _, x in root.walk()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("SELECT n_name FROM nation")
+def column_by_number(spark, sf):
+    return access.read_column(table(spark, sf, "nation"), 1)
 
 
 @query("""SELECT c_custkey, length, sum(length) OVER (ORDER BY c_custkey)::BIGINT AS end_offset
@@ -417,7 +539,7 @@ def dml_read_your_writes(spark, sf):
 @query(f"{_PATCHED} WHERE o_orderkey % 10 <> 4")
 def stream_changes(spark, sf):
     """The same changes as a stream of files."""
-    folder = storage_dir(spark)
+    folder = new_path(spark)
     orders = table(spark, sf, "orders")
     patch = orders.where("o_orderkey % 10 = 3").select("o_orderkey", F.lit("Z").alias("o_orderstatus"), F.lit("update").alias("op"), F.lit(1).cast("long").alias("seq"))
     gone = orders.where("o_orderkey % 10 = 4").select("o_orderkey", F.lit(None).cast("string").alias("o_orderstatus"), F.lit("delete").alias("op"), F.lit(2).cast("long").alias("seq"))
@@ -438,10 +560,20 @@ def sort_composite(spark, sf):
     return access.numbered(table(spark, sf, "lineitem").select(*keys), keys)
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS row_no FROM customer")
+@query("SELECT c_custkey, (c_custkey % 3)::INT AS run, row_number() OVER (ORDER BY c_custkey) - 1 AS row_no FROM customer")
 def merge_runs(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")
-    return access.numbered(runs.concat_runs([runs.external_sort(c.where(f"c_custkey % 3 = {i}"), ["c_custkey"]) for i in range(3)]), ["c_custkey"])
+    merged = runs.merge_runs([runs.external_sort(c.where(f"c_custkey % 3 = {i}"), ["c_custkey"]) for i in range(3)], ["c_custkey"], run="run")
+    return access.numbered(merged, ["c_custkey"])
+
+
+@query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS row_no FROM customer")
+def replay_runs(spark, sf):
+    """The order of a merge by key is recorded, and another column of the runs is put in that order."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    parts = [runs.placed(c.where(f"c_custkey % 3 = {i}"), ["c_custkey"]) for i in range(3)]
+    order = runs.run_order([p.select("c_custkey", "place") for p in parts], ["c_custkey"])
+    return runs.replay(order, [p.select("c_custkey", "c_name", "place") for p in parts])
 
 
 @query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0")
@@ -463,7 +595,7 @@ def compare_desc_ignore(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 5)")
 def bloom_gate(spark, sf):
     keys = table(spark, sf, "part").where("p_size < 5").select(F.col("p_partkey").alias("l_partkey"))
-    return bloom.gated_semi_join(table(spark, sf, "lineitem"), keys, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+    return bloom.gated_semi_join(table(spark, sf, "lineitem"), keys, "l_partkey", items=100_000).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 # ---- schemas and values
@@ -536,6 +668,255 @@ def validate_rows(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", records.validate(kind).alias("valid"))
 
 
+# ---- cases that plain tables do not reach
+
+
+@query("""SELECT c_custkey, o_orderkey, o_totalprice AS price, CAST(o_custkey AS DOUBLE) AS owner, 'none' AS note
+FROM customer JOIN orders ON o_custkey = c_custkey""")
+def resolve_nested(spark, sf):
+    """Records inside an array, written with other names, order and types than they are read with."""
+    reader = schemas.parse(schemas.record("customer", [
+        schemas.field("orders", schemas.array(schemas.record("o", [
+            schemas.field("note", "string", default="none"), schemas.field("owner", "double", aliases=["o_custkey"]),
+            schemas.field("price", "double", aliases=["o_totalprice"]), schemas.field("o_orderkey", "long")])), aliases=["ordersArr"]),
+        schemas.field("c_custkey", "long")]))
+    return records.resolve(nested(spark, sf, 2), reader).select("c_custkey", F.inline("orders")).select("c_custkey", "o_orderkey", "price", "owner", "note")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id::DOUBLE END AS number, CASE WHEN event_id % 2 = 1 THEN event_type END AS word FROM events")
+def resolve_union(spark, sf):
+    """A union of a long and a string, read as one of a string and a double."""
+    wrote = schemas.parse(schemas.record("u", [schemas.field("event_id", "long"), schemas.field("u", schemas.union("long", "string"))]))
+    read = schemas.parse(schemas.record("u", [schemas.field("event_id", "long"), schemas.field("u", schemas.union("string", "double"))]))
+    even = F.col("event_id") % 2 == 0
+    u = F.struct(F.when(even, F.col("event_id")).alias("member0"), F.when(~even, F.col("event_type")).alias("member1"))
+    rows = table(spark, sf, "events").select("event_id", u.alias("u", metadata=wrote["u"].metadata))
+    return records.resolve(rows, read).select("event_id", F.col("u.member1").alias("number"), F.col("u.member0").alias("word"))
+
+
+@query("""SELECT o_orderkey + 9007199254740993 AS o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN o_custkey + 9007199254740994 ELSE o_custkey + 9007199254740993 END AS owner,
+CASE WHEN o_orderkey % 2 = 1 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 8 <> 5""")
+def dml_big_keys(spark, sf):
+    """Keys above 2^53 next to nulls, folded by a log with several changes to a key."""
+    big = 9007199254740993
+    price = F.when(F.col("o_orderkey") % 2 == 1, F.lit(None)).otherwise(F.col("o_totalprice"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), price.alias("o_totalprice"))
+    base = o.select((F.col("k") + big).alias("o_orderkey"), (F.col("c") + big).alias("owner"), "o_totalprice")
+
+    def step(seq: int, op: str, where: str, owner=None) -> DataFrame:
+        return o.where(where).select((F.col("k") + big).alias("o_orderkey"), (F.lit(None).cast("long") if owner is None else owner).alias("owner"), F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"))
+
+    log = step(1, "update", "k % 4 = 1", F.col("c") + big + 1).unionByName(step(2, "update", "k % 4 = 1")).unionByName(step(3, "delete", "k % 8 = 5"))
+    return mutate.apply_changes(Layer("orders", base, ("o_orderkey",)), {"orders": log}).df
+
+
+@query("""SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS k, o_custkey, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders""")
+def dml_null_key(spark, sf):
+    """Rows without a key stay as they are, and changes without one do nothing."""
+    base = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey")).alias("k"), "o_custkey", "o_orderstatus")
+    log = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey")).alias("k"), F.lit("Z").alias("o_orderstatus"), F.lit("upsert").alias("op"))
+    return mutate.merge_one_per_key(base, log.where("k is not null").union(spark.range(1).select(F.lit(None).cast("long"), F.lit("Y"), F.lit("insert"))), ("k",))
+
+
+@query("SELECT c_custkey, o_orderkey, o_orderstatus AS status, o_orderpriority AS priority FROM customer JOIN orders ON o_custkey = c_custkey")
+def nest_maps(spark, sf):
+    """Children with a map column."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority").alias("m"))
+    n = nest.nest(table(spark, sf, "customer"), ("c_custkey",), orders, ("o_custkey",), ("o_orderkey",), "ordersArr")
+    return nest.unnest(n, "ordersArr", keep=["c_custkey"]).select("c_custkey", "o_orderkey", F.col("m")["status"].alias("status"), F.col("m")["priority"].alias("priority"))
+
+
+@query("SELECT p_partkey AS k, p_partkey - 3 AS up FROM part WHERE p_partkey - 3 NOT IN (SELECT p_partkey FROM part)")
+def orphans_of_itself(spark, sf):
+    """A layer that is its own parent."""
+    part = Layer("part", table(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") - 3).alias("up")), ("k",), ("up",))
+    return layers.orphans(part, part)
+
+
+# ---- loads, logs and files
+
+
+@query("SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey")
+def load_text(spark, sf):
+    """Two text files with trailing separators to one stored nested table, in one call."""
+    root, folder = tree(spark, sf, 2), new_path(spark, "text")
+    kinds, files = {}, {}
+    for _, layer in root.walk():
+        files[layer.name], kinds[layer.name] = f"{folder}/{layer.name}", layer.df.schema
+        layer.df.select(F.concat(F.concat_ws("|", *[F.col(c).cast("string") for c in layer.df.columns]), F.lit("|")).alias("value")).write.text(files[layer.name])
+    n = load.load_text(spark, f"{folder}/nested", root, files, kinds)
+    return nest.unnest(n, "ordersArr", keep=["c_custkey", "c_name"]).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey, o_orderkey, l_seq, l_partkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN {LINES} l ON l_orderkey = o_orderkey")
+def load_nested(spark, sf):
+    """The three layers nested and stored anew."""
+    n = load.load_nested(tree(spark, sf), new_path(spark, "loaded"))
+    return nest.unnest(n, *LINES, keep=["c_custkey", "o_orderkey"]).select("c_custkey", "o_orderkey", "l_seq", "l_partkey")
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 3 THEN 'W' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_custkey % 10 <> 4
+UNION ALL SELECT o_orderkey + 10000000, o_custkey, 'N' FROM orders WHERE o_orderkey % 100 = 1 AND o_custkey % 10 <> 4""")
+def store_merge(spark, sf):
+    """Pending changes of two layers, merged to new stored versions twice."""
+    orders = table(spark, sf, "orders")
+    store = mutate.Store(tree(spark, sf, 2), path=new_path(spark, "store"))
+    store.change("orders", "update", orders.where("o_orderkey % 10 = 3").select("o_orderkey", F.lit("V").alias("o_orderstatus")))
+    store.change("orders", "insert", orders.where("o_orderkey % 100 = 1").select((F.col("o_orderkey") + 10000000).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus")))
+    store.merge()
+    store.change("orders", "update", orders.where("o_orderkey % 10 = 3").select("o_orderkey", F.lit("W").alias("o_orderstatus")))
+    store.change("customer", "delete", table(spark, sf, "customer").where("c_custkey % 10 = 4").select("c_custkey"))
+    return store.merge().children[0].df.select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query(f"{_PATCHED} WHERE o_orderkey % 10 <> 4")
+def change_log_file(spark, sf):
+    """A log written with flags and key structs, read back from a place on, and applied."""
+    layer, path = Layer("orders", table(spark, sf, "orders"), ("o_orderkey",)), new_path(spark, "log")
+    patch = layer.df.where("o_orderkey % 10 = 3").select("o_orderkey", F.lit("Z").alias("o_orderstatus"), F.lit("update").alias("op"), F.lit(5).alias("seq"))
+    gone = layer.df.where("o_orderkey % 10 = 4").select("o_orderkey", F.lit("delete").alias("op"), F.lit(6).alias("seq"))
+    old = layer.df.select("o_orderkey", F.lit("delete").alias("op"), F.lit(4).alias("seq"))
+    for log in (old, patch, gone):
+        changelog.write_log(log, path, layer)
+    return mutate.apply_changes(layer, {"orders": changelog.read_log(spark, path, layer, since=5)}).df
+
+
+@query("SELECT n_nationkey, n_name, codec FROM nation, (VALUES ('none'), ('snappy'), ('gzip'), ('zstd'), ('lz4')) v(codec)")
+def codecs(spark, sf):
+    """Written with each codec and page checksums, which are verified when read."""
+    n, out = table(spark, sf, "nation").select("n_nationkey", "n_name"), None
+    for codec in writers.CODECS:
+        writers.write(n, path := new_path(spark, codec), codec=codec)
+        part = readers.columnar(spark, path, verify=True).withColumn("codec", F.lit(codec))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation")
+def append_rows(spark, sf):
+    n, path = table(spark, sf, "nation").select("n_nationkey", "n_name"), new_path(spark, "append")
+    writers.write(n, path)
+    writers.append(n.withColumn("n_nationkey", F.col("n_nationkey") + 100), path, records_per_file=10)
+    return spark.read.parquet(path)
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5")
+def concatenate_files(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    paths = [new_path(spark, "part") for _ in range(2)]
+    writers.write(n, paths[0])
+    writers.write(n.where("n_nationkey < 5"), paths[1])
+    return writers.concatenate(*[spark.read.parquet(p) for p in paths])
+
+
+@query("SELECT n_nationkey, 'iso' AS code, 2 AS version FROM nation")
+def user_metadata(spark, sf):
+    """Metadata on a column, as it comes back from the file."""
+    path = new_path(spark, "meta")
+    writers.write(writers.with_metadata(table(spark, sf, "nation").select("n_nationkey"), "n_nationkey", code="iso", version=2), path)
+    n = spark.read.parquet(path)
+    told = readers.metadata(n)["n_nationkey"]
+    return n.select("n_nationkey", F.lit(told["code"]).alias("code"), F.lit(told["version"]).alias("version"))
+
+
+@query("SELECT * FROM (VALUES ('c_custkey', 'bigint', 0), ('ordersArr[].o_orderkey', 'bigint', 1), ('ordersArr[].lineitemArr[].l_seq', 'int', 2)) v(leaf, kind, depth)")
+def file_header(spark, sf):
+    """The leaves of a stored nested table with their types."""
+    told = readers.header(loaded_nested(spark, sf, _KEYS))
+    return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(at).alias("leaf"), F.lit(kind).alias("kind"), F.lit(at.count("[]")).alias("depth")) for at, kind, _ in told])).alias("x")).select("x.*")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer")
+def root_columns(spark, sf):
+    """A nested table without its arrays."""
+    n = loaded_nested(spark, sf, ["c_custkey", "c_mktsegment", "ordersArr.o_orderkey"])
+    return n.select(*readers.root_columns(n))
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
+def recursive_scan(spark, sf):
+    """Files in folders below a folder."""
+    n, path = table(spark, sf, "nation").select("n_nationkey", "n_name"), new_path(spark, "deep")
+    writers.write(n, f"{path}/a/x")
+    writers.write(n, f"{path}/b")
+    return readers.columnar(spark, path, n.schema, recursive=True)
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 100000 AND o_orderstatus IN ('F', 'O')")
+def predicates_as_text(spark, sf):
+    """Predicates that went through a job's configuration."""
+    text = predicate.dumps([predicate.compare((), "c_mktsegment", "eq", "BUILDING"), predicate.compare(ORDERS, "o_totalprice", "gt", 100000), predicate.compare(ORDERS, "o_orderstatus", "in", ["F", "O"])])
+    preds = predicate.loads(text)
+    project = ["c_custkey", "ordersArr.o_orderkey"]
+    return nest.unnest(filtered(loaded_nested(spark, sf, project, preds), preds, project), "ordersArr", keep=["c_custkey"])
+
+
+@query("SELECT c_custkey, o_orderkey, 1::BIGINT AS n_orders FROM customer JOIN orders ON o_custkey = c_custkey")
+def split_paths(spark, sf):
+    """A nested record for each order."""
+    n = nest.split_paths(loaded_nested(spark, sf, ["c_custkey", "ordersArr.o_orderkey"]), "ordersArr")
+    return n.select("c_custkey", F.col("ordersArr")[0]["o_orderkey"].alias("o_orderkey"), F.size("ordersArr").cast("long").alias("n_orders"))
+
+
+# ---- values
+
+
+@query("SELECT count(*) AS n, count(DISTINCT (c_nationkey, c_mktsegment)) AS classes FROM customer")
+def hash_records(spark, sf):
+    """Records that compare equal have equal hashes, and others differ."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return c.select(records.record_hash(c, {"c_custkey": runs.IGNORE}).alias("h")).agg(F.count("*").alias("n"), F.countDistinct("h").alias("classes"))
+
+
+@query("""SELECT o_custkey AS k, list_append(a, -1::BIGINT)[-1] AS added, a[1] AS first, list_reverse(a)[1] AS last, len(a) AS n, -1 AS longer FROM (
+SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS a FROM orders GROUP BY o_custkey)""")
+def array_values(spark, sf):
+    a = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("a"))
+    more = records.array_append(F.col("a"), F.lit(-1).cast("long"))
+    return a.select("k", F.element_at(more, -1).alias("added"), records.array_peek(F.col("a")).alias("first"), records.array_peek(records.array_reverse(F.col("a"))).alias("last"), F.size("a").cast("long").alias("n"), records.array_compare(F.col("a"), more).alias("longer"))
+
+
+@query("SELECT event_id, TRY_CAST(NULLIF(CASE event_id % 3 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN '' ELSE event_type END, '') AS BIGINT) AS number FROM events")
+def parse_text(spark, sf):
+    text = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, "").otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", records.parse_typed(text, T.LongType()).alias("number"))
+
+
+@query("SELECT p_partkey, round(p_retailprice * 100)::BIGINT AS stored, round(p_retailprice * 100)::BIGINT / 100.0::DOUBLE AS price FROM part")
+def user_conversion(spark, sf):
+    """A logical type of a user's own: prices held as whole cents."""
+    if "cents" not in schemas.CONVERSIONS:
+        schemas.register(schemas.Conversion("cents", T.LongType(), lambda c: c / 100.0, lambda c: F.round(c * 100).cast("long")))
+    kind = schemas.parse(schemas.record("p", [schemas.field("p_partkey", "long"), schemas.field("p_retailprice", schemas.logical("long", "cents"))]))
+    wrote = schemas.converted(table(spark, sf, "part").select("p_partkey", "p_retailprice"), kind, write=True)
+    read = schemas.converted(wrote, kind).withColumnRenamed("p_retailprice", "price")
+    return read.join(wrote.withColumnRenamed("p_retailprice", "stored"), "p_partkey").select("p_partkey", "stored", "price")
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS millis, epoch_us(ts) AS micros FROM events")
+def logical_times(spark, sf):
+    """Times as the numbers that the schema stores, read as timestamps and written again."""
+    kind = schemas.parse(schemas.record("e", [schemas.field("millis", schemas.logical("long", "timestamp-millis")), schemas.field("micros", schemas.logical("long", "timestamp-micros"))]))
+    ts = F.col("ts").cast(kind["micros"].dataType)
+    e = table(spark, sf, "events").select("event_id", F.timestamp_millis(F.unix_millis(ts)).cast(kind["millis"].dataType).alias("millis"), ts.alias("micros"))
+    return e.select("event_id", F.unix_millis("millis").alias("millis"), F.unix_micros("micros").alias("micros"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def enum_read(spark, sf):
+    """A written string as an enum, whose other symbols would be an error."""
+    kind = schemas.parse(schemas.record("c", [schemas.field("c_custkey", "long"), schemas.field("c_mktsegment", schemas.enum("s", "MACHINERY", "BUILDING"))]))
+    return records.resolve(table(spark, sf, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), kind)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def key_text(spark, sf):
+    """Rows found again by their keys as text."""
+    n = table(spark, sf, "nation")
+    told = records.key_text(n, ["n_nationkey", "n_name"])
+    return told.select(records.from_json("key_text", "n_nationkey int, n_name string").alias("k"), "n_regionkey").select("k.*", "n_regionkey")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Three-layer conjunctive filter over customers, orders and lines, from flat layers."""
     return filter_three_layers_before_nesting(spark, sf)

@@ -23,12 +23,15 @@ def line_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
 
-def columnar(spark: SparkSession, path: str, schema: T.StructType | None = None, recursive: bool = False) -> DataFrame:
+def columnar(spark: SparkSession, path: str, schema: T.StructType | None = None, recursive: bool = False, verify: bool = False) -> DataFrame:
     """Parquet; with a narrower ``schema`` only its leaves are read, matched by name.
 
     A field that the files lack is an error, as columns have no defaults.
+    ``verify``: the checksums of pages are compared as they are read.
     """
     reader = spark.read
+    if verify:
+        reader = reader.option("parquet.page.verify-checksum.enabled", "true")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     if schema is None:
@@ -67,6 +70,21 @@ def root_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in nested]
 
 
+def header(df: DataFrame) -> list[tuple[str, str, bool]]:
+    """Name, type and nullability of each leaf, arrays and records dotted."""
+
+    def leaves(kind: T.DataType, at: str, null: bool):
+        if isinstance(kind, T.StructType):
+            for f in kind:
+                yield from leaves(f.dataType, f"{at}.{f.name}" if at else f.name, f.nullable)
+        elif isinstance(kind, T.ArrayType):
+            yield from leaves(kind.elementType, f"{at}[]", kind.containsNull)
+        else:
+            yield at, kind.simpleString(), null
+
+    return list(leaves(df.schema, "", True))
+
+
 def files(df: DataFrame) -> DataFrame:
     """``path, size, rows`` of the files behind a table."""
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).groupBy("path", "size").agg(F.count("*").alias("rows"))

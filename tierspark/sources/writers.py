@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Codecs that the Parquet writer has.
-CODECS = ("none", "snappy", "gzip", "zstd", "lz4")
+CODECS = ["none", "snappy", "gzip", "zstd", "lz4"]
 _RESERVED = "spark."
 
 
+def add_codec(name: str) -> None:
+    """Accept another codec of the Parquet writer, for which the cluster has the library (brotli, lzo ...)."""
+    if name not in CODECS:
+        CODECS.append(name)
+
+
 def write(df: DataFrame, path: str, mode: str = "errorifexists", codec: str = "zstd", records_per_file: int = 0, checksum: bool = True, bloom: Sequence[str] = ()) -> None:
     """Parquet, with page checksums and, for key columns, Bloom filters."""
     if codec not in CODECS:

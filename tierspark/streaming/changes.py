@@ -3,50 +3,67 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.layers import Layer
 from ..operators.mutate import apply_changes
+from .storage import Versions
 
 
 class StreamedLayer:
-    """A layer as a folder of versions; each batch of changes writes the next one.
+    """A layer as a whole version and the changes since, which readers fold in.
 
-    A version is named by its batch, so a batch that runs again after a
-    failure overwrites its own version and starts from the one before it.
-    The pointer to the newest version is itself a small table.
+    Each batch of changes is written as it comes, so its cost is that of the
+    batch. After ``compact`` batches they are folded into a new whole
+    version; all but the ``keep`` newest of these, and the changes they hold,
+    are deleted. A version is named by its batch, so a batch that runs again
+    after a failure overwrites its own files.
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str, pk: tuple[str, ...]):
-        self.spark, self.path, self.name, self.pk = spark, path, name, pk
-
-    def _version(self, number: int) -> str:
-        return f"{self.path}/version={number}"
+    def __init__(self, spark: SparkSession, path: str, name: str, pk: tuple[str, ...], compact: int = 16, keep: int = 2):
+        self.spark, self.name, self.pk = spark, name, pk
+        self.compact, self.keep = compact, keep
+        self.versions = Versions(spark, path)
+        self.path = path
 
     def create(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._version(-1))
-        self._point(-1)
-
-    def _point(self, number: int) -> None:
-        self.spark.range(1).select(F.lit(number).cast("long").alias("version")).write.mode("append").parquet(f"{self.path}/_versions")
+        self.versions.write(df, -1, first=True)
 
-    def newest(self, before: int | None = None) -> int:
-        known = self.spark.read.parquet(f"{self.path}/_versions")
-        if before is not None:
-            known = known.where(F.col("version") < before)
-        return known.agg(F.max("version")).first()[0]
+    def newest(self) -> int:
+        return max(n for n, _, _ in self.versions.known())
 
     def read(self, number: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self._version(self.newest() if number is None else number))
+        """The layer after batch ``number`` (default: the last)."""
+        known = self.versions.known()
+        last = max(n for n, _, _ in known) if number is None else number
+        whole = max(n for n, kind, _ in known if kind == "base" and n <= last)
+        base = self.versions.read("base", whole)
+        deltas = [n for n, kind, _ in known if kind == "delta" and whole < n <= last]
+        if not deltas:
+            return base
+        log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.versions.read("delta", n) for n in deltas])
+        return apply_changes(Layer(self.name, base, self.pk), {self.name: log}).df
 
     def apply(self, changes: DataFrame, batch: int) -> None:
-        """For ``foreachBatch``: changes have ``op, seq`` and the layer's columns."""
-        base = self.read(self.newest(batch))
-        after = apply_changes(Layer(self.name, base, self.pk), {self.name: changes})
-        after.df.write.mode("overwrite").parquet(self._version(batch))
-        self._point(batch)
+        """For ``foreachBatch``: changes have ``op, seq`` and the layer's columns; later batches come after earlier ones."""
+        known = self.versions.known()
+        if any(n == batch and kind == "base" for n, kind, _ in known):
+            return  # it ran to its end before
+        before = [x for x in known if x[0] < batch]
+        start = max(s for _, _, s in before)
+        path = self.versions.at("delta", batch)
+        low, high = changes.agg(F.min("seq"), F.max("seq")).first()
+        if low is None:
+            low, high = 0, -1
+        changes.withColumn("seq", (F.col("seq") - low + start).cast("long")).write.mode("overwrite").parquet(path)
+        self.versions.announce(batch, "delta", start + high - low + 1)
+        whole = max(n for n, kind, _ in before if kind == "base")
+        if sum(kind == "delta" and n > whole for n, kind, _ in before) + 1 >= self.compact:
+            self.versions.write(self.read(batch), batch, next_seq=start + high - low + 1)
+            self.versions.expire(self.keep)
 
     def follow(self, stream: DataFrame, checkpoint: str | None = None):
         """Start the query over a stream of changes."""
