@@ -72,17 +72,26 @@ def _fold(columns: list[str], kinds: dict[str, T.DataType], fk: list[str]) -> Co
             return F.lit(True)
         return F.aggregate("__lives", F.lit(False), lambda found, x: F.when(same(x, values) & (x["seq"] < seq), x["alive"]).otherwise(found))
 
-    born_fields = {c: lambda e, c=c: e["vals"][c] for c in columns}
+    def bound(value: Column, use) -> Column:
+        """``use(value)``, the value being worked out once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
 
     def step(state: Column, e: Column) -> Column:
         live, row, kind = state["live"], state["row"], e["kind"]
-        patched = F.struct(*[F.coalesce(e["vals"][c], row[c]).alias(c) for c in columns])
-        died = live & ((kind == "delete") | ((kind == "death") & same(row, e["vals"])))
-        born = ~live & kind.isin("insert", "upsert") & parent_lives(e["vals"], e["seq"])
-        patch = live & kind.isin("update", "upsert") & (same(patched, row) | parent_lives(patched, e["seq"]))
-        after = F.struct(*[F.when(born, born_fields[c](e)).when(patch, patched[c]).otherwise(row[c]).alias(c) for c in columns])
-        told = F.concat(state["out"], F.array(F.struct(e["seq"].alias("seq"), born.alias("alive"))))
-        return F.struct(F.when(died, False).when(born, True).otherwise(live).alias("live"), after.alias("row"), F.when(died | born, told).otherwise(state["out"]).alias("out"))
+
+        def outcome(patched: Column) -> Column:
+            died = live & ((kind == "delete") | ((kind == "death") & same(row, e["vals"])))
+            born = ~live & kind.isin("insert", "upsert") & parent_lives(e["vals"], e["seq"])
+            patch = live & kind.isin("update", "upsert") & (same(patched, row) | parent_lives(patched, e["seq"]))
+            return F.when(died, 1).when(born, 2).when(patch, 3).otherwise(0)
+
+        def after(patched: Column, what: Column) -> Column:
+            told = F.concat(state["out"], F.array(F.struct(e["seq"].alias("seq"), (what == 2).alias("alive"))))
+            made = lambda live, row, out: F.struct(live.alias("live"), row.alias("row"), out.alias("out"))
+            return F.when(what == 0, state).when(what == 1, made(F.lit(False), row, told)).when(what == 2, made(F.lit(True), e["vals"], told)).otherwise(made(live, patched, state["out"]))
+
+        patch_of = F.struct(*[F.coalesce(e["vals"][c], row[c]).alias(c) for c in columns])
+        return bound(patch_of, lambda patched: bound(outcome(patched), lambda what: after(patched, what)))
 
     start = F.struct(
         F.col("__base").isNotNull().alias("live"),

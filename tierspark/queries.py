@@ -83,7 +83,7 @@ def loaded(spark: SparkSession, sf: str, depth: int = 3) -> Layer:
     """The layers as they are stored by a load: sorted by key, lineitem with its number within the order."""
     path = _loaded(spark, sf, "layers", lambda p: load.load_layers(tree(spark, sf), p))
     all_ = [x for _, x in tree(spark, sf).walk()][:depth]
-    return chain(*[Layer(x.name, spark.read.parquet(f"{path}/{x.name}"), x.pk, x.fk) for x in all_])
+    return chain(*[Layer(x.name, spark.read.schema(x.df.schema).parquet(f"{path}/{x.name}"), x.pk, x.fk) for x in all_])
 
 
 def loaded_nested(spark: SparkSession, sf: str, project: list[str], preds: list[Pred | Udf] = ()) -> DataFrame:
@@ -313,9 +313,13 @@ def delimited_scan(spark, sf):
 # ---- point and positional access
 
 
+def layer_file(spark: SparkSession, sf: str, name: str, key: str) -> access.SortedTable:
+    path = _loaded(spark, sf, "layers", lambda p: load.load_layers(tree(spark, sf), p))
+    return access.SortedTable(spark, f"{path}/{name}", key)
+
+
 def orders_file(spark: SparkSession, sf: str) -> access.SortedTable:
-    loaded(spark, sf)
-    return access.SortedTable(spark, f"{_LOADED[spark.sparkContext.applicationId, sf, 'layers']}/orders", "o_orderkey")
+    return layer_file(spark, sf, "orders", "o_orderkey")
 
 
 @query("SELECT * FROM orders WHERE o_orderkey = 77")
@@ -343,8 +347,7 @@ def child_keys(spark, sf):
 
 @query("SELECT * FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row_no FROM customer) WHERE row_no = 42")
 def row_at(spark, sf):
-    loaded(spark, sf)
-    return access.SortedTable(spark, f"{_LOADED[spark.sparkContext.applicationId, sf, 'layers']}/customer", "c_custkey").rows(42, 1)
+    return layer_file(spark, sf, "customer", "c_custkey").rows(42, 1)
 
 
 @query("SELECT * FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no FROM orders) WHERE row_no >= 100 AND row_no < 150")
@@ -372,8 +375,7 @@ def seek_value(spark, sf):
 SELECT l_orderkey, count(*) AS n, min(l_partkey) AS first_part FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 200 GROUP BY l_orderkey)""")
 def range_descending(spark, sf):
     """A range of keys from the last to the first, equal keys together."""
-    loaded(spark, sf)
-    lines_ = access.SortedTable(spark, f"{_LOADED[spark.sparkContext.applicationId, sf, 'layers']}/lineitem", "l_orderkey")
+    lines_ = layer_file(spark, sf, "lineitem", "l_orderkey")
     found = lines_.between(100, 200, descending=True, together=["l_partkey", "l_seq"])
     found = found.select("l_orderkey", F.size("l_partkey").cast("long").alias("n"), F.array_min("l_partkey").alias("first_part"))
     return access.numbered(found, [F.col("l_orderkey").desc()]).withColumnRenamed("row_no", "place")
@@ -480,7 +482,7 @@ def dml_update_missing(spark, sf):
 UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_custkey % 10 <> 4
 UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::BIGINT FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 10 <> 4""")
 def dml_delete_cascade(spark, sf):
-    root = tree(spark, sf)
+    root = loaded(spark, sf)
     log = root.df.where("c_custkey % 10 = 4").withColumn("op", F.lit("delete")).withColumn("seq", F.col("c_custkey"))
     out = []
     for _, layer in mutate.apply_changes(root, {"customer": log}).walk():
@@ -493,12 +495,11 @@ _MOVED = "(SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN (o_custkey + 1)
 
 @query(f"SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_lines FROM customer LEFT JOIN {_MOVED} o ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey")
 def dml_reparent(spark, sf):
-    root = tree(spark, sf)
+    root = loaded(spark, sf)
     customers = root.df.count()
     log = root.children[0].df.where("o_orderkey % 50 = 7").select("o_orderkey", ((F.col("o_custkey") + 1) % customers).alias("o_custkey"), F.lit("update").alias("op"), F.col("o_orderkey").alias("seq"))
-    n = nest.nest_all(mutate.apply_changes(root, {"orders": log}))
-    n_lines = F.aggregate("ordersArr", F.lit(0).cast("long"), lambda acc, o: acc + F.size(o["lineitemArr"]))
-    return n.select("c_custkey", F.size("ordersArr").cast("long").alias("n_orders"), n_lines.alias("n_lines"))
+    counts = nest.descendant_counts(mutate.apply_changes(root, {"orders": log}))
+    return counts.withColumnRenamed("n_lineitem", "n_lines")
 
 
 @query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 1 THEN 'B' ELSE o_orderstatus END AS o_orderstatus,
