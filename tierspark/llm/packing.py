@@ -10,14 +10,13 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken
 from .bpe import byte_symbols
-from .common import text_or_empty
+from .common import stored, text_or_empty
 
 #: Pieces packed together. A sequence never mixes blocks, so each block
 #: leaves less than one sequence unfilled at best.
@@ -82,14 +81,11 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     return out
 
 
-def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, blocks: int) -> DataFrame:
-    """``id, piece, start, length, ids_crc32, _block``; a long document's first piece is its odd part."""
+def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
+    """``id, piece, start, length, ids_crc32``; a long document's first piece is its odd part."""
     kind = docs.schema[id_col].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        seen = TaskContext.get().partitionId() * 0x9E3779B97F4A7C15
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pretoken.chunks(texts):
@@ -102,17 +98,10 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int
                         rows.append((d, k, start, size, zlib.crc32(ids[start : start + size])))
                         start, size = start + size, capacity
                 at, *rest = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                # blocks are dealt by place in the input, so that no key can fill one
-                mixed = (np.arange(len(at), dtype=np.uint64) + np.uint64(seen % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-                seen += len(at)
-                block = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)) % np.uint64(blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), *map(pa.array, rest), pa.array(block.astype(np.int64))],
-                    names=["_id", "piece", "start", "length", "ids_crc32", "_block"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, rest)], names=["_id", "piece", "start", "length", "ids_crc32"])
 
     chosen = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    return chosen.mapInArrow(cut, f"_id {kind.simpleString()}, piece long, start long, length long, ids_crc32 long, _block long")
+    return chosen.mapInArrow(cut, f"_id {kind.simpleString()}, piece long, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -146,10 +135,15 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 class _Search:
     """Local search over the underfull bins, raising the sum of squared fills.
 
-    A step takes a bin A and moves one document of it to a fuller bin B, or
+    A step takes a bin A and moves one document of it to another bin B, or
     exchanges one for one, two of A for one of B, or one of A for two of B,
     so that B gains d > 0 tokens within its room. The gain of the objective
     is 2 d (fill B - fill A + d). A bin that runs empty is gone.
+
+    What a bin can give is told by size: each of its sizes and each sum of
+    two of them once, so a bin of 1024 tokens has a thousand entries at most,
+    however many documents it holds. For an entry of B, the best entry of A
+    is the largest that B has room for, as the gain rises with d.
     """
 
     def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
@@ -158,43 +152,53 @@ class _Search:
         self.fill = {b: int(sizes[x].sum()) for b, x in self.bins.items()}
         self.least = -(-int(sizes.sum()) // capacity)
 
+    def gives(self, b: int) -> np.ndarray:
+        """Rows ``tokens, first size, second size (0: one document; both 0: none)`` of a bin."""
+        own, many = np.unique(self.sizes[self.bins[b]], return_counts=True)
+        i, j = np.triu_indices(len(own))
+        some = (i != j) | (many[i] > 1)
+        pairs = np.stack([own[i] + own[j], own[i], own[j]], 1)[some]
+        pairs = pairs[np.unique(pairs[:, 0], return_index=True)[1]]
+        none = np.zeros_like(own)
+        return np.concatenate([[[0, 0, 0]], np.stack([own, own, none], 1), pairs])
+
     def table(self) -> None:
         """What each underfull bin can give: nothing, one document or two."""
-        rows = []
-        for b, items in self.bins.items():
-            if self.fill[b] < self.capacity:
-                own = sorted(items, key=lambda i: int(self.sizes[i]))
-                rows.append((b, -1, -1, 0))
-                rows += [(b, i, -1, int(self.sizes[i])) for i in own]
-                rows += [(b, i, j, int(self.sizes[i] + self.sizes[j])) for n, i in enumerate(own) for j in own[n + 1 :]]
-        self.rows = np.array(rows, np.int64).reshape(-1, 4)
-        self.set_rooms()
-
-    def set_rooms(self) -> None:
-        self.fills = np.array([self.fill.get(b, self.capacity) for b in self.rows[:, 0]], np.int64)
-        self.counts = (self.rows[:, 1] >= 0).astype(np.int64) + (self.rows[:, 2] >= 0)
+        self.rows = np.zeros((0, 4), np.int64)
+        self.refresh(*[b for b in self.bins if self.fill[b] < self.capacity])
+
+    def refresh(self, *changed: int) -> None:
+        live = [b for b in changed if b in self.bins and self.fill[b] < self.capacity]
+        new = [np.insert(self.gives(b), 0, b, axis=1) for b in live]
+        self.rows = np.concatenate([self.rows[~np.isin(self.rows[:, 0], changed)], *new])
+        self.fills = np.array([self.fill[b] for b in self.rows[:, 0].tolist()], np.int64)
 
     def step(self, a: int) -> bool:
         """The exchange of bin ``a`` with the greatest gain, if one raises the objective."""
-        own, fill_a = self.bins[a], self.fill[a]
-        gives = [(i, -1, int(self.sizes[i])) for i in own] + [(i, j, int(self.sizes[i] + self.sizes[j])) for n, i in enumerate(own) for j in own[n + 1 :]]
+        fill_a, own = self.fill[a], self.gives(a)[1:]
         best, how = 0, None
-        live = self.rows[:, 0] != a
-        room = self.capacity - self.fills
-        for i, j, x in gives:
-            d = x - self.rows[:, 3]
-            gain = d * (self.fills - fill_a + d)
-            ok = live & (d > 0) & (d <= room) & (gain > 0)
-            if j >= 0:
-                ok &= self.counts < 2  # two for two is not a move of this search
-            k = int(np.argmax(np.where(ok, gain, 0)))
-            if ok[k] and gain[k] > best:
-                best, how = int(gain[k]), (i, j, self.rows[k])
+        for rows, from_a in ((self.rows[:, 3] == 0, own), (self.rows[:, 3] > 0, own[own[:, 2] == 0])):  # two for two is not a move of this search
+            rows = np.flatnonzero(rows & (self.rows[:, 0] != a))
+            if not len(rows) or not len(from_a):
+                continue
+            from_a = from_a[np.argsort(from_a[:, 0], kind="stable")]
+            at = np.searchsorted(from_a[:, 0], self.rows[rows, 1] + self.capacity - self.fills[rows], "right") - 1
+            d = np.where(at >= 0, from_a[at, 0] - self.rows[rows, 1], 0)
+            gain = np.where(d > 0, d * (self.fills[rows] - fill_a + d), 0)
+            k = int(np.argmax(gain))
+            if gain[k] > best:
+                best, how = int(gain[k]), (from_a[at[k]], self.rows[rows[k]])
         if how is None:
             return False
-        i, j, (b, p, q, y) = how[0], how[1], map(int, how[2])
-        for item, src, dst in ((i, a, b), (j, a, b), (p, b, a), (q, b, a)):
-            if item >= 0:
+        (_, *given), (b, _, *taken) = how[0].tolist(), how[1].tolist()
+        for sizes, src, dst in ((given, a, b), (taken, b, a)):
+            moved = []
+            for size in filter(None, sizes):
+                item = next(i for i in self.bins[src] if self.sizes[i] == size and i not in moved)
+                moved.append(item)
+            sizes[:] = moved
+        for items, src, dst in ((given, a, b), (taken, b, a)):
+            for item in items:
                 self.bins[src].remove(item)
                 self.bins[dst].append(item)
         for x in (a, b):
@@ -204,26 +208,15 @@ class _Search:
         self.refresh(a, b)
         return True
 
-    def refresh(self, *changed: int) -> None:
-        keep = ~np.isin(self.rows[:, 0], changed)
-        rows = []
-        for b in changed:
-            if b in self.bins and self.fill[b] < self.capacity:
-                own = self.bins[b]
-                rows.append((b, -1, -1, 0))
-                rows += [(b, i, -1, int(self.sizes[i])) for i in own]
-                rows += [(b, i, j, int(self.sizes[i] + self.sizes[j])) for n, i in enumerate(own) for j in own[n + 1 :]]
-        self.rows = np.concatenate([self.rows[keep], np.array(rows, np.int64).reshape(-1, 4)])
-        self.set_rooms()
-
     def run(self) -> list[list[int]]:
         """Until a pass over all underfull bins, least filled first, makes no exchange, or no fewer bins are possible."""
-        self.table()
+        if len(self.bins) > self.least:
+            self.table()
         while len(self.bins) > self.least:
             moved, failed = False, set()
             for a in sorted((b for b in self.bins if self.fill[b] < self.capacity), key=lambda b: self.fill[b]):
                 while a in self.bins and self.fill[a] < self.capacity and len(self.bins) > self.least:
-                    alike = tuple(sorted(int(self.sizes[i]) for i in self.bins[a]))
+                    alike = np.sort(self.sizes[self.bins[a]]).tobytes()
                     if alike in failed or not self.step(a):
                         failed.add(alike)
                         break
@@ -238,24 +231,29 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return _Search(best_fit(sizes, capacity), sizes, capacity).run()
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """``id, piece, start, length, ids_crc32, sequence_id, offset``: a row per piece.
 
     A null text counts as empty and is the end id alone; documents longer
     than ``capacity`` are cut, the first piece being the odd part, so that
     each has one piece to pack at most and full sequences otherwise. Null
-    ids and repeated rows are rows like others. Only two columns are read.
-    An empty table gives no rows.
-
-    Pieces are dealt to blocks of about ``BLOCK_PIECES`` documents by their
-    place in the input and packed block by block; the number of blocks
-    follows the number of documents, so a task's size does not.
+    ids and repeated rows are rows like others. Texts of any length are
+    encoded whole, and any number of short or equal ones may meet. Only two
+    columns are read. An empty table gives no rows.
+
+    Pieces are written to the shared folder and dealt to blocks of about
+    ``block_pieces`` by their place there, which no retried task changes and
+    no key decides. Blocks are packed one by one: each leaves at most a
+    sequence unfilled that a larger block might have filled.
     """
-    blocks = max(1, round(docs.count() / BLOCK_PIECES))
+    kind = docs.schema[id_col].dataType.simpleString()
+    cut = stored(pieces(docs, path, id_col, text_col, capacity, end_id), "pieces")
+    blocks = max(1, round(cut.count() / block_pieces))
+    place = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", "start"], kind="stable").reset_index(drop=True)
-        sizes = rows["length"].to_numpy()
+    def packed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("length", "ids_crc32", "start")])
+        sizes = rows.column("length").to_numpy()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         small = np.flatnonzero(sizes < capacity)
         bins = [small[b] for b in pack_sizes(sizes[small], capacity)] if len(small) else []
@@ -264,11 +262,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             offset[items] = np.cumsum(sizes[items]) - sizes[items]
         full = np.flatnonzero(sizes >= capacity)
         sequence[full] = len(bins) + np.arange(len(full))
-        rows["sequence_id"] = (rows["_block"].to_numpy() << 32) + sequence
-        rows["offset"] = offset
-        return rows.drop(columns="_block")
+        block = rows.column("_block").to_numpy()
+        return rows.drop_columns(["_block"]).append_column("sequence_id", pa.array((block << 32) + sequence)).append_column("offset", pa.array(offset))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    cut = pieces(docs, path, id_col, text_col, capacity, end_id, blocks)
-    packed = cut.groupBy("_block").applyInPandas(place, f"_id {kind}, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return packed.select(F.col("_id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
+    dealt = cut.select("*", F.pmod(place, F.lit(blocks)).alias("_block"))
+    made = dealt.groupBy("_block").applyInArrow(packed, f"_id {kind}, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return made.select(F.col("_id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
