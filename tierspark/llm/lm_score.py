@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from .common import is_fold, stored, text_or_empty
 #: Bytes of the longest context in the query.
 ORDER = 5
 #: Characters of text whose distinct words and codes are counted together.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 3_000_000
 #: Documents for each bucket of words and codes.
 BUCKET_DOCS = 8192
 
@@ -112,6 +113,21 @@ class Trie:
         return out - np.log10(256 - barred.sum())
 
 
+def _packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as compressed bytes, byte plane by byte plane; rising ones as their differences."""
+    if rising:
+        values = np.diff(values, prepend=0)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, kind: type, rising: bool = False) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd"), np.uint8).reshape(width, n)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values) if rising else values
+
+
 def _fields(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
     return docs.select(F.col(id_col).alias("_id"), is_fold(5, id_col).alias("_held"), text.alias("_text"))
@@ -164,7 +180,7 @@ class _Words:
 
 
 def _ask(whole: DataFrame, buckets: int, order: int) -> DataFrame:
-    """For each batch and bucket, its distinct words and codes with their training counts."""
+    """For each batch and bucket that have any, the distinct words and codes with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
@@ -175,37 +191,41 @@ def _ask(whole: DataFrame, buckets: int, order: int) -> DataFrame:
                 code, _, sizes = _contexts([t.encode() for t in texts], order)
                 code <<= 1
                 code |= np.repeat(~held, sizes)
+                del texts
                 code.sort()
                 at = np.flatnonzero(np.diff(code >> 1, prepend=-1))
-                tallies = np.add.reduceat(code & 1, at) if len(at) else np.zeros(0, np.int64)
+                tallies = (np.add.reduceat(code & 1, at) if len(at) else np.zeros(0, np.int64)).astype(np.int32)
                 code = code[at] >> 1
                 by, edge = _dealt(code, buckets)
-                made = [_lists(pa.array(words.names, pa.string()), words.edge), _lists(trained, words.edge), _lists(code[by], edge), _lists(tallies[by].astype(np.int32), edge)]
-                for k in range(buckets):
-                    yield pa.RecordBatch.from_arrays(
-                        [record.column(0).slice(row, 1), pa.array([k], pa.int32()), *[m.slice(k, 1) for m in made]], names=["batch", "bucket", "words", "counts", "codes", "tallies"]
-                    )
+                code, tallies = code[by], tallies[by]
+                for k in np.flatnonzero((np.diff(edge) > 0) | (np.diff(words.edge) > 0)).tolist():
+                    (a, b), (c, d) = words.edge[k : k + 2], edge[k : k + 2]
+                    made = [pa.array([words.names[a:b]], pa.list_(pa.string())), pa.array([_packed(trained[a:b])]), pa.array([d - c], pa.int32()), pa.array([_packed(code[c:d], True)]), pa.array([_packed(tallies[c:d])])]
+                    yield pa.RecordBatch.from_arrays([record.column(0).slice(row, 1), pa.array([k], pa.int32()), *made], names=["batch", "bucket", "words", "counts", "n", "codes", "tallies"])
 
-    return whole.select("batch", "helds", "texts").mapInArrow(run, "batch long, bucket int, words array<string>, counts array<long>, codes array<long>, tallies array<int>")
+    return whole.select("batch", "helds", "texts").mapInArrow(run, "batch long, bucket int, words array<string>, counts binary, n int, codes binary, tallies binary")
 
 
 def _answer(table: pa.Table, order: int, mid: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     """For each batch that asked: corpus counts of one bucket's words, log10 probabilities of its codes; and the bucket's sums."""
-    words, counts, asked, tallies = (table.column(c).combine_chunks() for c in ("words", "counts", "codes", "tallies"))
-    at = lambda lists: np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-    back = lambda lists, values: pa.ListArray.from_arrays(pa.array(at(lists), pa.int32()), pa.array(values))
+    words = table.column("words").combine_chunks()
+    sizes, many = table.column("n").to_numpy(), pa.compute.list_value_length(words).to_numpy()
+    unpacked = lambda name, n, *how: np.concatenate([_unpacked(x.as_buffer(), k, *how) for x, k in zip(table.column(name), n.tolist(), strict=True)])
+    ends, word_ends = np.cumsum(sizes), np.cumsum(many)
     coded = words.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    total = np.bincount(codes, counts.flatten().to_numpy(), len(coded.dictionary)).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
-    distinct, place = np.unique(asked.flatten().to_numpy(), return_inverse=True)
-    n = np.bincount(place, tallies.flatten().to_numpy(), len(distinct)).astype(np.int64)
+    total = np.bincount(codes, unpacked("counts", many, np.int64), len(coded.dictionary)).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
+    distinct, place = np.unique(unpacked("codes", sizes, np.int64, True), return_inverse=True)
+    n = np.bincount(place, unpacked("tallies", sizes, np.int32), len(distinct)).astype(np.int64)
     trie = Trie(distinct[n > 0], n[n > 0], order, mid)
-    cost = np.empty(len(distinct))
+    cost = np.empty(len(distinct), np.float32)
     cost[n > 0] = trie.known()
     cost[n == 0] = [trie.chain(c) for c in distinct[n == 0].tolist()]
     out = pa.table({
-        "batch": table.column("batch").combine_chunks(), "bucket": table.column("bucket").combine_chunks(), "corpus": back(words, total[codes]),
-        "costs": back(asked, cost.astype(np.float32)[place]), "tokens": pa.nulls(len(table), pa.int64()), "kinds": pa.nulls(len(table), pa.int64()),
+        "batch": table.column("batch").combine_chunks(), "bucket": table.column("bucket").combine_chunks(), "m": pa.array(many, pa.int32()), "n": pa.array(sizes, pa.int32()),
+        "corpus": pa.array([_packed(total[codes[e - k : e]]) for e, k in zip(word_ends.tolist(), many.tolist(), strict=True)], pa.binary()),
+        "costs": pa.array([_packed(cost[place[e - k : e]]) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()),
+        "tokens": pa.nulls(len(table), pa.int64()), "kinds": pa.nulls(len(table), pa.int64()),
     })
     sums = {"bucket": table.column("bucket").slice(0, 1).combine_chunks(), "tokens": pa.array([int(total.sum())]), "kinds": pa.array([int((total > 0).sum())])}
     return pa.concat_tables([out, pa.table({f.name: sums.get(f.name, pa.nulls(1, f.type)) for f in out.schema})])
@@ -214,7 +234,8 @@ def _answer(table: pa.Table, order: int, mid: tuple[np.ndarray, np.ndarray]) ->
 def _scores(docs: pa.Table, answers: pa.Table, buckets: int, order: int) -> pa.Table:
     """For each document of a batch: its words, the known ones, their sum of log10(c + 0.5), and the score."""
     answers = answers.sort_by("bucket")
-    corpus, costs = (pa.concat_arrays([c.flatten() for c in answers.column(x).chunks]).to_numpy() for x in ("corpus", "costs"))
+    got = lambda name, n, kind: np.concatenate([np.zeros(0, kind), *[_unpacked(x.as_buffer(), k.as_py(), kind) for x, k in zip(answers.column(name), answers.column(n), strict=True)]])
+    corpus, costs = got("corpus", "m", np.int64), got("costs", "n", np.float32)
     out = []
     for row in range(len(docs)):
         texts = docs.column("texts")[row].as_py()
@@ -240,7 +261,7 @@ def _level_2(batches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = batches.select(F.explode(F.arrays_zip("codes", "tallies")).alias("z")).groupBy(F.col("z.codes").alias("code")).agg(F.sum("z.tallies").alias("n")).toArrow()
     code, n = (got.column(c).to_numpy() for c in ("code", "n"))
     order = np.argsort(code)
-    return code[order].astype(np.int64), n[order].astype(np.int64)
+    return code[order], n[order].astype(np.int64)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -265,11 +286,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     batches = stored(_batches(fields), "lm-batches")
     model = docs.sparkSession.sparkContext.broadcast(_level_2(batches))
     asked = _ask(batches, buckets, order).groupBy("bucket").applyInArrow(
-        lambda t: _answer(t, order, model.value), "batch long, bucket int, corpus array<long>, costs array<float>, tokens long, kinds long"
+        lambda t: _answer(t, order, model.value), "batch long, bucket int, m int, n int, corpus binary, costs binary, tokens long, kinds long"
     )
     answers = stored(asked, "lm-answers")
     whole = batches.select("batch", "ids", "helds", "texts")
-    scored = whole.groupBy("batch").cogroup(answers.where("batch is not null").select("batch", "bucket", "corpus", "costs").groupBy("batch")).applyInArrow(
+    scored = whole.groupBy("batch").cogroup(answers.where("batch is not null").select("batch", "bucket", "m", "n", "corpus", "costs").groupBy("batch")).applyInArrow(
         lambda d, a: _scores(d, a, buckets, order), f"_id {kind}, _held boolean, _words long, _known long, _sum double, score double"
     )
 
