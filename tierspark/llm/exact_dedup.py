@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, id_key, text_or_empty
+from .common import ASCII_SPACE, id_key, join_counted, text_or_empty
 
 
 def normalised(text: Column | str = "text") -> Column:
@@ -69,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(*_digest(docs, id_col, text_col)).groupBy("_id", "_hash", "_sha", "_chars").agg(F.count("*").alias("_n"))
     best = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_chars") == F.col("keep_chars"))
     return (
-        rows.join(classes(docs, id_col, text_col), ["_hash", "_sha"])
+        join_counted(rows, classes(docs, id_col, text_col), ["_hash", "_sha"], "group_size", docs.count())
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
         .select(
             F.col("_id").alias(id_col),
@@ -86,7 +86,9 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Joins the whole rows with the winners on hash, id and length, so that no
     join key is hotter than one row; repeats of the winning row go without
-    another shuffle, as they are grouped by the join's keys.
+    another shuffle, as they are grouped by the join's keys. Null texts count
+    as empty; null ids come after all others; columns may have any names; an
+    empty table stays empty.
     """
     names, keys = docs.columns, ["_hash", "_sha", "_chars", "_key"]
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *_digest(docs, id_col, text_col)).withColumn("_key", id_key("_id"))
