@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a shard about; queries of a block that visits the shards together.
-SHARD_ROWS, QUERY_BLOCK = 4096, 512
+#: Rows of a shard about; queries of a block that are worked on at once; blocks that a task takes.
+SHARD_ROWS, QUERY_BLOCK, TASK_BLOCKS = 4096, 512, 8
 #: Trees, bits of a hash string, projections that the trees draw theirs from, and
 #: the rows to gather at least: a share of a shard's, and some for each result.
 TREES, BITS, POOL, SHARE, PER_RESULT = 64, 64, 512, 0.45, 8
@@ -124,8 +124,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     Every row is indexed, in one shard of about ``SHARD_ROWS``, by a hash of
     id and vector, so that no common vector fills a shard. Queries visit all
-    shards in blocks of ``QUERY_BLOCK``: the work is that of the query set
-    against all rows, less what the forest leaves out.
+    shards, in blocks of ``QUERY_BLOCK``: a task is one shard and at most
+    ``TASK_BLOCKS`` blocks, whatever the table's size, and the work is that
+    of the query set against all rows, less what the forest leaves out.
+    With ``share`` 1 all rows are scored and the result is exact.
     """
     valid = F.coalesce(F.forall(vec_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), F.lit(False)) & F.exists(vec_col, lambda v: v != 0)
     rows = (
@@ -134,17 +136,20 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         .distinct()
         .withColumn("_dim", F.size("_vec"))
     )
-    count = vectors.count()
-    shards, blocks = max(1, round(count / SHARD_ROWS)), max(1, round(count / every / QUERY_BLOCK))
-    index = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", "_vec"), F.lit(shards)))
+    asked = F.col("_id") % every == 0
+    count, queries = vectors.agg(F.count("*"), F.count_if(F.col(id_col) % every == 0)).first()
+    shards, blocks = max(1, round(count / SHARD_ROWS)), max(1, round(queries / QUERY_BLOCK))
+    rounds = -(-blocks // TASK_BLOCKS)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    index = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", "_vec"), F.lit(shards))).withColumn("_round", numbers(rounds))
     wanted = (
-        rows.where(F.col("_id") % every == 0)
+        rows.where(asked)
         .groupBy("_dim", F.pmod(F.xxhash64("_vec", "_id"), F.lit(blocks)).alias("_b"))
         .agg(F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_vec").alias("vec"))).alias("_block"))
-        .select("_dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("_shard"), "_block")
+        .select("_dim", F.pmod("_b", F.lit(rounds)).alias("_round"), numbers(shards).alias("_shard"), "_block")
     )
     found = (
-        index.groupBy("_dim", "_shard").cogroup(wanted.groupBy("_dim", "_shard"))
+        index.groupBy("_dim", "_shard", "_round").cogroup(wanted.groupBy("_dim", "_shard", "_round"))
         .applyInPandas(lambda a, b: _search(a, b, k, share, trees), "query_id long, vec_id long, score double")
     )
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
