@@ -1,11 +1,13 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame functions only.
 
-Shards are the leaves of a tree region / rack / shard. A document descends
-it: at each level every child draws a weighted hash value for the key
-(-ln(u) / weight, the smallest wins), so that a child gets its share by
-weight. A child's draw depends on the key, the child's name and its weight
-alone; when weights change, rows move only into or out of the subtrees
-whose weights changed. A new region takes rows only into itself.
+Shards are the leaves of a tree region / rack / shard. For a key, a shard
+draws a hash value -ln(u) / weight, and a rack or region has the least draw
+of its children, which is a draw of their summed weight; so the draws of a
+node and of its children agree. A document descends from the root to the
+child of least draw, and each child gets its share by weight. A shard's draw
+depends on the key, its number and its weight alone: when weights change,
+rows move only into or out of the subtrees whose weights changed, and one
+more shard, wherever it hangs, takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from .common import text_or_empty
 
 #: Shards to a rack and racks to a region, filled in the order of their numbers.
 RACK_SHARDS, REGION_RACKS = 2, 2
-#: Blocks into which each shard's rows are split to number them.
-SLOT_BLOCKS = 512
+#: Rows of a block about: each shard's rows are numbered block by block.
+BLOCK_ROWS = 50_000
 
 
 def topology(weights: Sequence[float]) -> list[list[list[tuple[int, float]]]]:
@@ -37,30 +39,14 @@ def _draw(key: Column, name: str, weight: float) -> Column:
     return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / weight
 
 
-def _winner(key: Column, children: list[tuple[str, float, Column]]) -> Column:
-    """The outcome of the child with the least draw; ties go to the first."""
-    if len(children) == 1:
-        return children[0][2]
-    drawn = [F.struct(_draw(key, name, weight).alias("d"), F.lit(i).alias("i")) for i, (name, weight, _) in enumerate(children)]
-    won = F.array_min(F.array(*drawn))["i"]
-    out = children[-1][2]
-    for i in range(len(children) - 2, -1, -1):
-        out = F.when(won == i, children[i][2]).otherwise(out)
-    return out
-
-
 def shard_of(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of a string key, by descending region, rack and shard."""
+    """The shard of a string key: at the root, in the region and in the rack, the child of least draw; ties go to the first."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    regions = []
-    for r, racks in enumerate(topology(weights)):
-        below = []
-        for k, shards in enumerate(racks):
-            leaves = [(f"shard {s}", w, F.lit(s)) for s, w in shards]
-            below.append((f"rack {r}/{k}", sum(w for _, w in shards), _winner(key, leaves)))
-        regions.append((f"region {r}", sum(w for _, w, _ in below), _winner(key, below)))
-    return _winner(key, regions)
+    least = lambda nodes: nodes[0] if len(nodes) == 1 else F.least(*nodes)
+    leaf = lambda s, w: F.struct(_draw(key, f"shard {s}", w).alias("draw"), F.lit(s).alias("shard"))
+    regions = [least([least([leaf(s, w) for s, w in rack]) for rack in racks]) for racks in topology(weights)]
+    return least(regions)["shard"]
 
 
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] | None = None) -> DataFrame:
@@ -68,17 +54,18 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
 
     The law is ``key``: id and shard count decide. ``grown_shard`` is the
     shard with one more of weight 1, which moves rows into the new shard
-    alone whenever that shard opens a region (``n_shards`` a multiple of
-    four, as with 8). A null text has size 1 and the checksum of the empty
+    alone, for any number of shards. A null text has size 1 and the checksum of the empty
     text; a null id counts as ''; repeated rows share a shard and get slots
     of their own; an empty table gives no rows. Only two columns are read.
 
     Slots: rows that are equal in all outputs are counted first, so that a
     hot id is one row; then the rows of a (shard, block of a content hash)
-    are numbered, and the blocks' sizes, at most ``SLOT_BLOCKS`` to a shard,
-    are summed to offsets. No task holds a whole shard.
+    are numbered, and the blocks' sizes are summed to offsets. Their number
+    follows the table's, so no task holds a whole shard. The offsets meet
+    the numbered rows where these already are.
     """
     weights = list(weights or [1.0] * n_shards)
+    blocks = max(1, -(-docs.count() // (BLOCK_ROWS * len(weights))))
     text = text_or_empty(text_col)
     key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     rows = (
@@ -86,7 +73,7 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         .groupBy("_id", "size", "text_crc32")
         .agg(F.count("*").alias("_n"))
         .withColumn("shard", shard_of(key, weights))
-        .withColumn("_block", F.pmod(F.xxhash64("_id", "size", "text_crc32"), F.lit(SLOT_BLOCKS)).cast("int"))
+        .withColumn("_block", F.pmod(F.xxhash64("_id", "size", "text_crc32"), F.lit(blocks)).cast("int"))
     )
     before = W.partitionBy("shard").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -96,7 +83,7 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     inside = W.partitionBy("shard", "_block").orderBy("_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         rows.withColumn("_end", F.sum("_n").over(inside))
-        .join(F.broadcast(offsets), ["shard", "_block"])  # at most n_shards * SLOT_BLOCKS rows
+        .join(offsets, ["shard", "_block"])
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
         .select(
             F.col("_id").alias(id_col),
