@@ -65,18 +65,24 @@ def _same(parsed: Column, role: Column, text: Column) -> Column:
     return F.coalesce((F.size(parsed) == 1) & (one["role"] == role) & (one["text"] == text) & (one["loss"] == (role == "assistant")), F.lit(False))
 
 
+def _differs(what: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("not read back as it was written: "), F.coalesce(what, F.lit("null")))).cast("string")
+
+
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv, formatted, turns, same``: a row per conversation.
 
     ``formatted`` is the text, ``turns`` what the parser reads back from it
     (array of ``role, text, loss, raw``: ``raw`` is the part of the formatted
     text that stands for ``text``, ``loss`` whether it is under the loss
-    mask; ``loss_spans`` gives the places), ``same`` whether that equals the
-    source, which holds by construction.
+    mask; ``loss_spans`` gives the places), ``same`` that it equals the
+    source.
 
     Each turn makes its own round trip first, before any shuffle: rendered,
     parsed and compared with its source; where they differ its contents are
-    escaped, and the result compared again. Turns are ordered by number,
+    escaped, and the result compared again. The whole conversation is then
+    read back and compared with its source. What still differed would be an
+    error of the query: nothing leaves that does not read back. Turns are ordered by number,
     then role, then text; null numbers come first; null roles and texts
     count as empty; a null conversation id is a conversation; repeated turns
     stay. Other columns are not read. An empty table gives no rows. A
@@ -87,13 +93,17 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     raw = render(role, text)
     # A source without '<' or '[' cannot hold a control string and needs no parser.
     plain = ~F.concat(role, text).rlike(r"[<\[]")
-    rows = rows.withColumn("_piece", F.when(plain | _same(parse(raw), role, text), raw).otherwise(render(escape(role), escape(text))))
+    escaped = render(escape(role), escape(text))
+    kept = F.when(_same(parse(escaped), role, text), escaped).otherwise(_differs(role))
+    rows = rows.withColumn("_piece", F.when(plain | _same(parse(raw), role, text), raw).otherwise(kept))
     packed = rows.groupBy("_conv").agg(F.array_sort(F.collect_list(F.struct("_turn", "_role", "_text", "_piece"))).alias("_turns"))
     packed = packed.select("_conv", "_turns", F.array_join(F.col("_turns._piece"), "").alias("formatted"))
     packed = packed.withColumn("_read", parse(F.col("formatted")))
     source = F.transform("_turns", lambda t: F.struct(t["_role"].alias("role"), t["_text"].alias("text")))
     back = F.transform("_read", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return packed.select(F.col("_conv").alias(conv_col), "formatted", F.col("_read").alias("turns"), F.coalesce(back == source, F.lit(False)).alias("same"))
+    same = F.coalesce(back == source, F.lit(False))
+    # the text leaves through the comparison, which no plan can then leave out
+    return packed.select(F.col("_conv").alias(conv_col), F.when(same, F.col("formatted")).otherwise(_differs(F.col("_conv").cast("string"))).alias("formatted"), F.col("_read").alias("turns"), same.alias("same"))
 
 
 def loss_spans(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:

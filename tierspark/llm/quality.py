@@ -137,8 +137,9 @@ class Classifier:
             moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
             step = 0
             for _ in range(EPOCHS):
+                rng.shuffle(used)
                 for lo in range(0, len(used), BATCH):
-                    rows = used[lo : lo + BATCH] if lo else rng.permutation(used)[:BATCH]
+                    rows = used[lo : lo + BATCH]
                     h = np.tanh(x[rows] @ p["w1"] + p["b1"])
                     e = (1 / (1 + np.exp(-(h @ p["w2"] + p["b2"]))) - labels[rows]) / len(rows)
                     back = np.outer(e, p["w2"]) * (1 - h**2)
@@ -149,7 +150,6 @@ class Classifier:
                         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
                         moment[k] = m, v
                         p[k] = p[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                rng.shuffle(used)
             if len(held):
                 z = np.tanh(x[held] @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"]
                 grid = np.exp(np.linspace(-1.5, 2.5, 81))
@@ -200,11 +200,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: bytes, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a probability of label 1 for each row; no shuffle.
 
-    Null texts count as empty, which get the score of a text without words.
-    All columns of ``docs`` are kept but one named ``out``.
+    Null texts count as empty, which get the score of a text without words;
+    texts of any length are read whole. All columns of ``docs`` are kept, so
+    none may be named ``out``.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
-    docs = docs.drop(out)
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out} already")
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], text_or_empty(F.col(f"`{text_col}`")).alias("_text"))
     fields = plain.schema.fields[:-1]

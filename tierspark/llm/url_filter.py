@@ -26,12 +26,17 @@ from .common import stored
 _SEP = "\x00"
 
 
+def lowered(host: Column) -> Column:
+    """A-Z alone in lower case."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null and without '://'."""
     url = F.coalesce(url, F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.char_length(url))).otherwise(F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = lowered(F.regexp_extract(rest, r"^([^/?#]*)", 1))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return host, path
 
@@ -103,20 +108,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     Null urls and urls without '://' have empty host and path and fit no
     rule but one for the empty host. Null ids are kept; repeated rows each
-    get a row; other columns are not read; empty tables give no rows, and
-    without rules all get the default.
+    get a row; urls of any length are judged whole; other columns are not
+    read; empty tables give no rows, and without rules all get the default.
     """
     spark = pages.sparkSession
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = split_url(F.col("_url"))
     urls = (
         pages.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url_col), F.lit("")).alias("_url"))
-        .groupBy("_id", "_url").agg(F.count("*").alias("_n"))
-        .select("_id", host.alias("host"), path.alias("path"), "_n")
-        .groupBy("_id", "host", "path").agg(F.sum("_n").alias("_n"))
+        .select("_id", host.alias("host"), path.alias("path"))
+        .groupBy("_id", "host", "path").agg(F.count("*").alias("_n"))
     )
     known = (
-        rules.select(F.lower(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+        rules.select(lowered(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
         .groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
         .withColumn("_hkey", host_key(F.col("host")))
     )
