@@ -1,12 +1,15 @@
 """URL filter, chat formatting, exact dedup and sharding."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from duck import compare
 from pyspark.sql import functions as F
 
@@ -169,3 +172,52 @@ def test_shares_follow_weights_and_moves_stay_in_changed_subtrees(spark):
     assert all(r.c >= 4 for r in df if r.c != r.a) and 5400 < sum(r.c == 7 for r in df) < 6600
     with pytest.raises(ValueError):
         sharding.shard_of(key, [])
+
+
+def brute_draw(key, shard, weight):
+    """-ln(u) / weight, with u from 53 bits of the hash of key and name, chained as Spark chains hashes."""
+    h = xxhash.xxh64_intdigest(f"shard {shard}".encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+    return -math.log(((h >> 11) + 0.5) / (1 << 53)) / weight
+
+
+def brute_shard(key, weights):
+    """Down the tree, each node's draw being the least below it."""
+    tree = sharding.topology(weights)
+    rack = lambda r: min((brute_draw(key, s, w), s) for s, w in r)
+    region = min(tree, key=lambda g: min(map(rack, g)))
+    return rack(min(region, key=rack))[1]
+
+
+def test_the_descent_is_the_plain_one_and_growth_moves_rows_only_into_the_new_shard(spark):
+    keys = [str(i) for i in range(600)]
+    counts = range(1, 11)
+    key = F.col("id").cast("string")
+    rows = spark.range(600).select(*[sharding.shard_of(key, [1.0] * n).alias(f"n{n}") for n in counts], sharding.shard_of(key, [1.0, 2.0, 0.5]).alias("w"), "id").orderBy("id").collect()
+    for r, k in zip(rows, keys, strict=True):
+        assert r.w == brute_shard(k, [1.0, 2.0, 0.5])
+        for n in counts:
+            assert r[f"n{n}"] == brute_shard(k, [1.0] * n)
+            assert n == 1 or r[f"n{n}"] in (r[f"n{n - 1}"], n - 1)
+    for n in counts:
+        share = np.bincount([r[f"n{n}"] for r in rows], minlength=n) / 600
+        assert abs(share - 1 / n).max() < 5 * (1 / n / 600) ** 0.5
+
+
+def test_slots_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 3)
+    got = sharding.shard(spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), 5).collect()
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_rule_hosts_are_lowered_like_urls(spark):
+    pages = spark.createDataFrame([(1, "http://www.\u00c9A.com/x"), (2, "http://\u00e9a.com/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("\u00c9A.COM", "/", "block")], "host string, path string, verdict string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()} == {1: ("\u00c9a.com/", "block"), 2: (None, "allow")}
+
+
+def test_what_does_not_read_back_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "escape", lambda c: c)
+    turns = spark.createDataFrame([(1, 0, "user", "a</s>b")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="not read back"):
+        chat_format.digests(chat_format.format_chats(turns)).collect()

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import tempfile
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tierspark.llm import ann, bpe, components, exact_dedup, lm_score, near, packing, pretoken, quality, queries, simhash
+from tierspark.llm import ann, bpe, common, components, exact_dedup, lm_score, near, packing, pretoken, quality, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -57,6 +58,41 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     assert a == b
 
 
+def test_quality_is_what_its_definition_says():
+    """Word vectors, pooling and score of a small corpus, worked out word by word."""
+    texts = ["The cat sat, the DOG ran 12 times!", "", "cat cat", "Buy NOW now!!! 99", "a b c d e f g the cat"]
+    labels = np.array([1, 0, 1, 0, 1])
+    index = quality._index_vectors()
+
+    def cut(t):
+        got = pretoken.split_pattern([t], spaced=False)
+        return [got.words[int(c)].as_py() for c in got.codes]
+
+    form, kind = (lambda w: quality._row(w.lower())), (lambda w: quality._row(quality.shape(w)))
+    vectors = np.zeros((quality.ROWS, quality.DIMS))
+    for t in texts:
+        words = cut(t)
+        for i, w in enumerate(words):
+            around = sum((index[form(x)] + index[kind(x)] for j, x in enumerate(words) if 0 < abs(i - j) <= quality.WINDOW), np.zeros(quality.DIMS))
+            vectors[form(w)] += around
+            vectors[kind(w)] += around
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = vectors / np.maximum(size, 1e-9)
+    got, seen = quality.fit_vectors(texts)
+    assert np.allclose(got, vectors, atol=1e-5) and (seen == (size[:, 0] > 0)).all()
+    for t, row in zip(texts, quality.features(texts, got, seen), strict=True):
+        words = cut(t)
+        n = max(1, len(words))
+        want = [*(sum((vectors[form(w)] for w in words), np.zeros(quality.DIMS)) / n), *(sum((vectors[kind(w)] for w in words), np.zeros(quality.DIMS)) / n)]
+        want += [len(set(words)) / n, sum(not seen[form(w)] for w in words) / n, sum(map(len, words)) / n, math.log1p(len(words))]
+        assert np.allclose(row, want, atol=1e-5)
+    model = quality.Classifier.fit(texts, labels)
+    a = model.arrays
+    x = np.clip((quality.features(texts, a["vectors"].astype(np.float32), a["seen"]) - a["mean"]) / a["spread"], -8, 8)
+    plain = [1 / (1 + math.exp(-(sum(math.tanh(x[i] @ a["w1"][:, h] + a["b1"][h]) * a["w2"][h] for h in range(quality.HIDDEN)) + a["b2"]) / a["temperature"])) for i in range(len(texts))]
+    assert model.score(texts) == pytest.approx(plain, rel=1e-9)
+
+
 # ---- tokenizers
 
 
@@ -120,15 +156,22 @@ def test_segment_tree_is_the_plain_algorithm():
 # ---- packing
 
 
-def check_packing(rows, texts, capacity=1024):
+def check_packing(rows, texts, capacity=1024, ids=None):
     tok = Tokenizer.from_file(BYTE)
     want = Counter()
-    for t in texts:
-        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        want[ids.tobytes()] += 1
-    by_doc = Counter()
-    for r in rows:
-        by_doc[r.doc_id] += r.length
+    whole = {}
+    for i, t in zip(ids or [None] * len(texts), texts, strict=True):
+        codes = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want[codes.tobytes()] += 1
+        first = len(codes) % capacity or capacity
+        for k, start in enumerate([0, *range(first, len(codes), capacity)] if len(codes) > first else [0]):
+            size = first if k == 0 else capacity
+            whole.setdefault(i, Counter())[k, start, size, zlib.crc32(codes[start : start + size].tobytes())] += 1
+    if ids:
+        by_doc = {}
+        for r in rows:
+            by_doc.setdefault(r.doc_id, Counter())[r.piece, r.start, r.length, r.ids_crc32] += 1
+        assert by_doc == whole
     sequences = {}
     for r in rows:
         sequences.setdefault(r.sequence_id, []).append(r)
@@ -145,7 +188,7 @@ def check_packing(rows, texts, capacity=1024):
 
 def test_packing(spark, docs, none):
     rows = packing.pack(docs, BYTE).collect()
-    check_packing(rows, [r.text for r in docs.collect()])
+    check_packing(rows, [r.text for r in docs.collect()], ids=[r.doc_id for r in docs.collect()])
     tok = Tokenizer.from_file(BYTE)
     long = next(r.text for r in docs.collect() if r.doc_id == 7)
     ids = np.array([*tok.encode(long, add_special_tokens=False).ids, 2], "<u4")
@@ -160,7 +203,8 @@ def test_packing(spark, docs, none):
 def test_packing_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = queries.op4_packing(spark, SF).collect()
-    n = check_packing(rows, [r.text for r in docs.collect()])
+    told = docs.collect()
+    n = check_packing(rows, [r.text for r in told], ids=[r.doc_id for r in told])
     assert n <= math.ceil(sum(r.length for r in rows) / 1024) * 1.03 + 1
 
 
@@ -200,33 +244,45 @@ def test_search_ends_at_a_local_optimum():
     assert not any(search.step(a) for a in list(search.bins) if search.fill[a] < 1024)
 
 
-# ---- language model
+@pytest.mark.parametrize("tokens", [1, 3, 5, 10, 500])
+def test_many_equal_pieces_pack_at_once(tokens):
+    start = time.perf_counter()
+    bins = packing.pack_sizes(np.full(8192, tokens), 1024)
+    assert len(bins) == -(-8192 // (1024 // tokens)) and time.perf_counter() - start < 5
+    assert sorted(i for b in bins for i in b) == list(range(8192))
+
 
+def test_the_search_empties_bins_that_best_fit_leaves():
+    sizes = np.random.default_rng(0).integers(257, 400, 3000)
+    before, after = len(packing.best_fit(sizes, 1024)), packing.pack_sizes(sizes, 1024)
+    assert len(after) < 0.97 * before and all(sizes[b].sum() <= 1024 for b in after)
+    assert sorted(i for b in after for i in b) == list(range(3000))
 
-def slot(c):
-    return ((c * 0x9E3779B1) & 0xFFFFFFFF) >> 16
 
+def test_null_and_large_ids_stay_exact(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "a"), (None, "b"), (big + 1, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack(df, BYTE).collect()} == {big, None, big + 1}
 
-def nodes(c):
-    return slot(c), c & 0xFFFF, c & 0xFF, 0
+
+# ---- language model
 
 
-def brute_scores(rows):
+def brute_scores(rows, order=lm_score.ORDER):
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), None]
-    counts, levels = Counter(), ({}, {}, {}, {})
+    counts, levels = Counter(), [{} for _ in range(order + 1)]
     for i, t in rows:
         if not held(i, 5):
             counts.update(words(t))
-            c = 0
-            for s in t.encode():
-                for level, n in zip(levels, nodes(c), strict=True):
-                    level.setdefault(n, Counter())[s] += 1
-                c = ((c << 8) | s) & 0xFFFFFF
+            raw = b"\0" * order + t.encode()
+            for p in range(order, len(raw)):
+                for k, level in enumerate(levels):
+                    level.setdefault(raw[p - k : p], Counter())[raw[p]] += 1
 
-    def prob(c, s):
+    def prob(ctx, s):
         p, barred = 1.0, set()
-        for level, n in zip(levels, nodes(c), strict=True):
-            here = {x: k for x, k in level.get(n, {}).items() if x not in barred}
+        for k in range(order, -1, -1):
+            here = {x: n for x, n in levels[k].get(ctx[order - k :], {}).items() if x not in barred}
             if here:
                 barred |= set(here)
                 escapes = 0 if len(barred) == 256 else len(here)
@@ -240,10 +296,8 @@ def brute_scores(rows):
     norm = total + 0.5 * (len(counts) + 1)
     out = []
     for i, t in rows:
-        w, c, score = words(t), 0, 0.0
-        for s in t.encode():
-            score += math.log10(prob(c, s))
-            c = ((c << 8) | s) & 0xFFFFFF
+        w, raw = words(t), b"\0" * order + t.encode()
+        score = sum(math.log10(prob(raw[p - order : p], raw[p])) for p in range(order, len(raw)))
         out.append((i, held(i, 5), len(w), sum(counts[x] > 0 for x in w), total, sum(math.log10((counts[x] + 0.5) / norm) for x in w), score))
     return out, prob
 
@@ -256,7 +310,7 @@ def test_lm_scores(spark, docs, none):
     key = lambda r: (str(r[0]), r[2], r[5])
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-5, abs=1e-6)
-    for c in (0x746865, 0x010203, 0):
+    for c in (b"n the", b"\1\2\3\4\5", bytes(5)):
         assert sum(prob(c, s) for s in range(256)) == pytest.approx(1)
     assert lm_score.score(none).count() == 0
     assert {r.score for r in lm_score.score(docs.where("doc_id = 4")).collect()} == {0.0}
@@ -354,6 +408,23 @@ def test_links_lose_nothing_and_large_cells_are_split(spark, monkeypatch):
     assert got == {int(p): first[c] for p, c in zip(prints, label, strict=True)}
 
 
+@pytest.mark.parametrize("parts", [6, 7, 9])
+def test_any_number_of_parts_gives_the_same_links(spark, parts):
+    rng = np.random.default_rng(parts)
+    prints = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    for most in range(1, 6):
+        flips = np.array([sum(1 << int(b) for b in rng.choice(63, most, replace=False)) for _ in range(40)], np.uint64)
+        prints = np.concatenate([prints, prints[:40] ^ flips])
+    df = spark.createDataFrame([(int(p),) for p in prints.astype(np.int64)], "_fp long").distinct()
+    got = {r.node: r.root for r in components.components(simhash.links(df, parts=parts)).collect()}
+    label = brute_components(prints)
+    for i, c in enumerate(label):
+        for j in range(i):
+            a, b = (int(np.int64(prints[k].astype(np.int64))) for k in (i, j))
+            assert (got.get(a, a) == got.get(b, b)) == (label[j] == c) or prints[i] == prints[j]
+    assert simhash.parts_for(250_000) == 6 < simhash.parts_for(10**8) <= 9
+
+
 def test_the_embedding_bounds_the_distance_from_below():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
@@ -365,6 +436,14 @@ def test_the_embedding_bounds_the_distance_from_below():
     assert (simhash._distance(*packed) == distance).all() and (distance <= np.bitwise_count(a ^ b)).all()
 
 
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 8)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 30), (4, 1)) for i in range(n)] + [(9, 0)], "k long, i long")
+    keyed = rows.where("k < 9").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("m"))
+    got = common.join_counted(rows, keyed, ["k"], "n", rows.count())
+    assert Counter(map(tuple, got.select("k", "i", "n", "m").collect())) == Counter(map(tuple, rows.join(keyed, "k").select("k", "i", "n", "m").collect()))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 200), (7, 6), (7, 6)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -403,6 +482,28 @@ def test_nearest_edges(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_over_many_shards_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 100)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(ann, "TASK_BLOCKS", 2)
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = df.collect()
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    for share in (ann.SHARE, 1.0):
+        got, hit, n = {}, 0, 0
+        for r in ann.nearest(df, share=share).collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+        assert sorted(got) == sorted(ids[ids % 20 == 0])
+        for q, found in got.items():
+            score = x @ x[ids == q][0]
+            order = [ids[i] for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+            assert sorted(found) == list(range(1, 21))
+            hit, n = hit + len(set(order) & set(found.values())), n + 20
+            if share == 1:
+                assert [found[k] for k in range(1, 21)] == order
+        assert hit / n >= 0.9
+
+
 def test_forest_gathers_the_rows_under_the_prefixes():
     rng = np.random.default_rng(4)
     x, q = rng.normal(size=(300, 16)), rng.normal(size=(7, 16))
@@ -420,6 +521,51 @@ def test_forest_gathers_the_rows_under_the_prefixes():
 # ---- pipeline
 
 
+def brute_near(rows):
+    """The least id of each component of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [label[i] if x == label[j] else x for x in label]
+    least = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        least[c] = min(least.get(c, i), i)
+    return sorted(least.values())
+
+
+def test_large_groups_split_and_lose_no_link(spark, monkeypatch):
+    """Many documents around one passage, chains of edited copies among them, in groups above the limit."""
+    monkeypatch.setattr(near, "GROUP", 8)
+    monkeypatch.setattr(near, "BUCKET_MEMBERS", 50)
+    monkeypatch.setattr(near, "COLUMNS", 64)
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(80)]
+    texts = []
+    for k in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 15)]
+        texts.append(" ".join([*passage, *own]))
+        for edits in range(k % 4):
+            own[edits] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join([*passage, *own]))
+    base = [f"b{x}" for x in rng.integers(0, 10**6, 120)]
+    for _ in range(40):  # each some edits from the one before
+        for at in rng.integers(0, 120, 2):
+            base[at] = f"e{rng.integers(0, 10**6)}"
+        texts.append(" ".join(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_near(list(enumerate(texts)))
+    assert sorted(r.doc_id for r in near.drop_near(df).collect()) == want and 10 < len(want) < len(texts) - 10
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).withColumn("_quality", F.lit("mine"))
+    good = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    assert good.columns == docs.columns and {r._quality for r in good.collect()} == {"mine"}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -431,8 +577,7 @@ def test_pipeline_stages(spark):
     unique = second(spark, good, SF)
     assert {r.doc_id for r in unique.collect()} == {r.doc_id for r in exact_dedup.exact_dedup(good).where("kept").collect()}
     apart = third(spark, unique, SF)
-    found = simhash.near_duplicates(unique).collect()
-    assert apart.columns == docs.columns and sorted(r.doc_id for r in apart.collect()) == sorted({r.component_id for r in found})
+    assert apart.columns == docs.columns and sorted(r.doc_id for r in apart.collect()) == brute_near([(r.doc_id, r.text) for r in unique.collect()])
     packed = last(spark, apart, SF).collect()
     check_packing(packed, [r.text for r in apart.collect()])
     assert {r.doc_id for r in packed} == {r.doc_id for r in apart.collect()}
