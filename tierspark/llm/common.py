@@ -52,8 +52,9 @@ def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str,
     values = [c for c in keyed.columns if c not in keys]
     struct = F.struct(*values)
     hot = keyed.where(F.col(count) > floor).select(*keys, struct.alias("_hot"))
-    cool = keyed.where(F.col(count) <= floor).select(*[F.col(k).alias(f"_cool_{k}") for k in keys], struct.alias("_cool"), F.lit(0).cast("long").alias("_cool_spread"))
+    cool = keyed.where(F.col(count) <= floor).select(*[F.col(k).alias(f"_cool_{k}") for k in keys], struct.alias("_cool"), F.pmod(F.col(count), F.lit(1)).cast("long").alias("_cool_spread"))
     marked = rows.join(F.broadcast(hot), keys, "left")
+    # the zero of `_cool_spread` is not a constant to the optimizer, which would deal the rows by the keys alone
     marked = marked.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns)))
     on = [F.col(k) == F.col(f"_cool_{k}") for k in keys] + [F.col("_spread") == F.col("_cool_spread")]
     met = marked.join(cool, on, "left").withColumn("_got", F.coalesce("_hot", "_cool")).where(F.col("_got").isNotNull())
