@@ -29,7 +29,7 @@ ORDER = 5
 #: Characters of text whose distinct words and codes are counted together.
 BATCH_CHARS = 3_000_000
 #: Documents for each bucket of words and codes.
-BUCKET_DOCS = 8192
+BUCKET_DOCS = 2048
 
 
 def _contexts(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
