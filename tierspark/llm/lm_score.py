@@ -128,6 +128,18 @@ def _unpacked(data: bytes, n: int, kind: type, rising: bool = False) -> np.ndarr
     return np.cumsum(values) if rising else values
 
 
+def _packed_texts(texts: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([texts], names=["t"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked_texts(data: pa.Scalar) -> list[str]:
+    return pa.ipc.open_stream(data.as_buffer()).read_all().column(0).to_pylist()
+
+
 def _fields(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
     return docs.select(F.col(id_col).alias("_id"), is_fold(5, id_col).alias("_held"), text.alias("_text"))
@@ -138,7 +150,7 @@ def _lists(values: np.ndarray | pa.Array, at: np.ndarray) -> pa.Array:
 
 
 def _batches(docs: DataFrame) -> DataFrame:
-    """Batches of texts (``ids, helds, texts``), and rows of their training counts at level 2 (``codes, tallies``)."""
+    """Batches of texts (``ids, helds``, packed ``texts``), and rows of their training counts at level 2 (``codes, tallies``)."""
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +165,12 @@ def _batches(docs: DataFrame) -> DataFrame:
                 code, _, _ = _contexts([t.encode() for t, h in zip(texts[a:b], helds, strict=True) if not h], 2)
                 found, tallies = _tally(code.astype(np.uint32))
                 one, all_of = np.array([0, n]), np.array([0, len(found)])
-                whole = [_lists(pa.array(record.column(c).slice(a, n)), one) for c in range(3)]
-                made = [*whole, _lists(found.astype(np.int32), all_of), _lists(tallies.astype(np.int64), all_of)]
+                whole = [_lists(pa.array(record.column(c).slice(a, n)), one) for c in range(2)]
+                made = [*whole, pa.array([_packed_texts(record.column(2).slice(a, n))], pa.binary()), _lists(found.astype(np.int32), all_of), _lists(tallies.astype(np.int64), all_of)]
                 yield pa.RecordBatch.from_arrays([pa.array([uid]), *made], names=["batch", "ids", "helds", "texts", "codes", "tallies"])
                 uid += 1
 
-    return docs.mapInArrow(run, f"batch long, ids array<{kind}>, helds array<boolean>, texts array<string>, codes array<int>, tallies array<long>")
+    return docs.mapInArrow(run, f"batch long, ids array<{kind}>, helds array<boolean>, texts binary, codes array<int>, tallies array<long>")
 
 
 class _Words:
@@ -185,7 +197,7 @@ def _ask(whole: DataFrame, buckets: int, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
             for row in range(len(record)):
-                texts, held = record.column(2)[row].as_py(), np.array(record.column(1)[row].as_py(), bool)
+                texts, held = _unpacked_texts(record.column(2)[row]), np.array(record.column(1)[row].as_py(), bool)
                 words = _Words(texts, buckets)
                 trained = np.bincount(words.codes[~held[words.text]], minlength=len(words.names)).astype(np.int64)
                 code, _, sizes = _contexts([t.encode() for t in texts], order)
@@ -238,7 +250,7 @@ def _scores(docs: pa.Table, answers: pa.Table, buckets: int, order: int) -> pa.T
     corpus, costs = got("corpus", "m", np.int64), got("costs", "n", np.float32)
     out = []
     for row in range(len(docs)):
-        texts = docs.column("texts")[row].as_py()
+        texts = _unpacked_texts(docs.column("texts")[row])
         words = _Words(texts, buckets)
         c = corpus[words.codes]
         code, first, sizes = _contexts([t.encode() for t in texts], order)
