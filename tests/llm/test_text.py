@@ -618,3 +618,43 @@ def test_pipeline_near_stage_links_edited_copies(spark):
     assert kept == sorted(least.values())
     assert len(kept) < simhash.drop_near(df).count()
     assert [near.bands(near.shingles(t)).size for t in ("", "a", texts[0])] == [0, near.BANDS, near.BANDS]
+
+
+def test_pipeline_near_stage_finds_its_pairs_by_simhash(spark, monkeypatch):
+    """Without near fingerprints nothing is linked; pairs of 0.8 or more have near ones and share cells."""
+    rng = np.random.default_rng(6)
+    close = []
+    for n in (4, 9, 40, 200, 2000):  # shingles; a ninth of them is edited, or one is added
+        for _ in range(20):
+            words, new = [[f"{c}{x}" for x in rng.integers(0, 10**6, n + 4)] for c in "wx"]
+            other = words + new[:1] if n < 9 else words[: -(n // 9)] + new[: n // 9]
+            close.append((" ".join(words), " ".join(other)))
+    for a, b in close:
+        sets = [near.shingles(t) for t in (a, b)]
+        both = len(np.intersect1d(*sets))
+        assert 5 * both >= 4 * (len(sets[0]) + len(sets[1]) - both) and not np.array_equal(*sets)
+        x, y = (np.frombuffer(near.fingerprint(near.votes(s)), np.uint64) for s in sets)
+        assert np.bitwise_count(x ^ y).sum() <= near.MOST_BITS and np.intersect1d(*map(near.bands, sets)).size
+    keys, nodes = np.arange(3).repeat(4), np.arange(12) % 6  # cells {0 1 2 3}, {4 5 0 1}, {2 3 4 5}
+    prints = np.zeros((6, 4), np.uint64)
+    prints[3:] = ~prints[3:]
+    forest = near._near_prints(keys, nodes, prints[nodes])
+    assert len(forest) == 4 and all((a < 3) == (b < 3) for a, b in forest)
+    df = spark.createDataFrame(list(enumerate(t for pair in close for t in pair)), "doc_id long, text string")
+    assert near.drop_near(df).count() == len(close)
+    monkeypatch.setattr(near, "near_prints", lambda nodes: spark.createDataFrame([], "a long, b long"))
+    assert near.drop_near(df).count() == 2 * len(close)
+
+
+def test_large_cells_of_fingerprints_are_split(spark):
+    """Cells above the limit are dealt to pairs of blocks, and the same fingerprints hang together."""
+    rng = np.random.default_rng(7)
+    base, rows = rng.integers(0, 256, 32).astype(np.uint8), []
+    for i in range(120):
+        print_ = base.copy() if i % 2 else rng.integers(0, 256, 32).astype(np.uint8)
+        print_[i % 32] ^= 1 << i % 8
+        rows.append((i, bytearray(print_.tobytes()), [7, 100 + i]))
+    nodes = spark.createDataFrame(rows, "_node long, _print binary, _cells array<int>")
+    for limit in (8, 4096):
+        got = components.components(near.near_prints(nodes, limit))
+        assert {(r.node, r.root) for r in got.collect()} == {(i, 1) for i in range(1, 120, 2)}
