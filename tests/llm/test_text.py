@@ -658,3 +658,31 @@ def test_large_cells_of_fingerprints_are_split(spark):
     for limit in (8, 4096):
         got = components.components(near.near_prints(nodes, limit))
         assert {(r.node, r.root) for r in got.collect()} == {(i, 1) for i in range(1, 120, 2)}
+
+
+def test_links_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Of one group of near copies in large cells and parts, dealt to many tasks, few more links than members leave them."""
+    monkeypatch.setattr(near, "BUCKET_ENTRIES", 100)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 256, 32).astype(np.uint8)
+    for g in (60, 240):
+        prints = base ^ (rng.random((g, 32)) < 0.3) * np.uint8(4)
+        cells = np.where(rng.random((g, 20)) < 0.9, np.arange(20), 1000 + rng.integers(0, 10**6, (g, 20)))
+        df = spark.createDataFrame([(i, bytearray(p.tobytes()), c.tolist()) for i, (p, c) in enumerate(zip(prints, cells, strict=True))], "_node long, _print binary, _cells array<int>")
+        links = common.stored(near.near_prints(df, 8))
+        assert links.count() <= 2 * g and {r.root for r in components.components(links).collect()} == {0}
+    counts = Counter()
+
+    def stored(df, name="table"):
+        out = common.stored(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near, "stored", stored)
+    monkeypatch.setattr(near, "GROUP", 8)
+    monkeypatch.setattr(near, "BUCKET_MEMBERS", 16)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    texts = [" ".join([*words[:k], f"n{k}", *words[k + 1 :]]) for k in range(120)]
+    kept = near.drop_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert counts["links"] <= 2 * len(texts)
